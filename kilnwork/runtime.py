@@ -54,6 +54,13 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work on each, if the scan has fewer tasks than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(cores)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if df has at most `rows` rows; stops reading once there are more."""
     return df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= rows
