@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import leaks, lookalike, topn
+from kilnwork.llm import credentials, leaks, lookalike, topn
 from kilnwork.runtime import table
 
 
+def _credentials(spark: SparkSession, d: str) -> DataFrame:
+    bandit = credentials.credentials(table(spark, d, "bandit_output"), "result_id", "code", numbered=True)
+    findings = credentials.credentials(table(spark, d, "findings"), "id", "code_snippet")
+    return bandit.select(F.lit("bandit_output").alias("source_table"), F.col("result_id").alias("record_id"), "*").drop(
+        "result_id"
+    ).unionByName(
+        findings.select(F.lit("findings").alias("source_table"), F.col("id").alias("record_id"), "*").drop("id")
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _credentials(spark, d).select("source_table", "record_id", "line_no").distinct()
+
+
+def p4_places(spark: SparkSession, d: str) -> DataFrame:
+    return _credentials(spark, d)
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    bandit = credentials.redacted(table(spark, d, "bandit_output"), "result_id", "code", numbered=True)
+    findings = credentials.redacted(table(spark, d, "findings"), "id", "code_snippet")
+    return bandit.toDF("record_id", "redacted", "n_redacted").select(
+        F.lit("bandit_output").alias("source_table"), "*"
+    ).unionByName(
+        findings.toDF("record_id", "redacted", "n_redacted").select(F.lit("findings").alias("source_table"), "*")
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = topn.top_n(table(spark, d, "findings"), 10, "scan_id", topn.severity_rank("severity"), "id")
     wanted = table(spark, d, "fix_suggestions").select("scan_id").distinct()
@@ -41,7 +69,20 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.visual_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_report, p8_found, p8_canonical, p8_classes)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p4_found,
+        p4_places,
+        p4_redacted,
+        p5_found,
+        p7_found,
+        p7_report,
+        p8_found,
+        p8_canonical,
+        p8_classes,
+    )
+}
 
 ORACLE = {
     "p5_found": r"""
