@@ -5,10 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import credentials, leaks, lookalike, topn
+from kilnwork.llm import credentials, leaks, linkage, lookalike, topn
 from kilnwork.runtime import table
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    bandit = linkage.Side(
+        id="result_id",
+        repo="repo_hint",
+        path="filename",
+        line="line_number",
+        time="generated_at",
+        kind=F.col("test_id"),
+        weaknesses=F.array_compact(F.array(F.col("issue_cwe.id"))),
+    )
+    numbers = F.transform("extra.metadata.cwe", lambda x: F.regexp_extract(x, r"(\d+)", 1).try_cast("int"))
+    semgrep = linkage.Side(
+        id="result_id",
+        repo="repo_full_name",
+        path="path",
+        line="start.line",
+        time="scanned_at",
+        kind=F.substring_index("check_id", ".", -1),
+        weaknesses=F.array_distinct(F.array_compact(numbers)),
+    )
+    return linkage.link(table(spark, d, "bandit_output"), table(spark, d, "semgrep_output"), bandit, semgrep)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).selectExpr("id_a as bandit_id", "id_b as semgrep_id")
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).selectExpr("id_a as bandit_id", "id_b as semgrep_id", "round(confidence, 2) as confidence")
+
+
 def _credentials(spark: SparkSession, d: str) -> DataFrame:
     bandit = credentials.credentials(table(spark, d, "bandit_output"), "result_id", "code", numbered=True)
     findings = credentials.credentials(table(spark, d, "findings"), "id", "code_snippet")
@@ -72,6 +103,8 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        p1_found,
+        p1_confidence,
         p4_found,
         p4_places,
         p4_redacted,
