@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm import credentials, leaks, linkage, lookalike, topn
+from kilnwork.llm import credentials, leaks, linkage, lookalike, packing, topn
 from kilnwork.runtime import table
 
 
@@ -74,6 +74,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return best.join(wanted, "scan_id", "left_semi").selectExpr("scan_id", "id as finding_id")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes").select("capacity_id", "capacity_tokens").distinct()
+    return packing.pack(table(spark, d, "documents"), {r.capacity_id: r.capacity_tokens for r in sizes.collect()})
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("eval_id", "doc_id")
 
@@ -109,6 +122,8 @@ QUERIES = {
         p4_places,
         p4_redacted,
         p5_found,
+        p6_packed,
+        p6_fill,
         p7_found,
         p7_report,
         p8_found,
