@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import training
+from kilnwork.plans import findings, training
 
-_MODULES = (training,)
+_MODULES = (training, findings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
