@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import findings, training
+from kilnwork.plans import findings, training, usage
 
-_MODULES = (training, findings)
+_MODULES = (training, findings, usage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
