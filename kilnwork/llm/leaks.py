@@ -34,6 +34,7 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
+Pair = tuple[str, str]
 Term = tuple[str, str, str]
 
 
@@ -44,7 +45,7 @@ def triples(doc: list[str]) -> list[Term]:
 class ItemIndex:
     """BM25 over the items' word triples, with block maxima. k1 and b are BM25's own."""
 
-    def __init__(self, items: list[tuple[int, str, str]], block: int = 16, k1: float = 1.2, b: float = 0.75, shared: float = 0.02) -> None:
+    def __init__(self, items: list[tuple[int, str, str]], common: set[Pair], block: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
         self.ids = [i for i, _, _ in items]
         self.passages = [words(p or "") for _, p, _ in items]
         self.answers = [words(a or "") for _, _, a in items]
@@ -67,9 +68,7 @@ class ItemIndex:
             for term, p in postings.items()
         }
         self.block = block
-        limit = max(5, shared * n)
-        together = Counter(pair for p in self.passages for pair in set(zip(p, p[1:])))
-        self.common = {pair for pair, k in together.items() if k > limit}
+        self.common = common
 
     def search(self, terms: set[Term], threshold: float) -> dict[int, float]:
         """Items whose BM25 score for the query is at least the threshold, all of them."""
@@ -163,6 +162,19 @@ class ItemIndex:
         return out
 
 
+def common_pairs(items: DataFrame, total: int, shared: float = 0.02, least: int = 5) -> set[Pair]:
+    """Word pairs of more than a share of all items, and of more than `least`. A passage of w words
+    has w pairs, so there are at most w / shared of them, however many items there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [pair for p in map(words, batch.passage) for pair in set(zip(p, p[1:]))]
+            yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+
+    pairs = items.select("passage").mapInPandas(run, "a string, b string").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return {(r.a, r.b) for r in pairs.where(F.col("n") > max(least, shared * total)).collect()}
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -192,11 +204,12 @@ def leaks(
     once = once.dropDuplicates(["eval_id"])
     total = once.count()
     blocks = max(1, -(-total // items_at_once))
+    common = common_pairs(once, total)
     out = None
     for block in range(blocks):
         part = once.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == block)
         index = spark.sparkContext.broadcast(
-            ItemIndex(sorted((r.eval_id, r.passage, r.answer) for r in part.collect()))
+            ItemIndex(sorted((r.eval_id, r.passage, r.answer or "") for r in part.collect()), common)
         )
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:

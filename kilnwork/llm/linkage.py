@@ -25,13 +25,14 @@ ATTRIBUTES = ("repo", "path", "line", "time", "kind")
 class Rules:
     """Weights of the rules, and the reach of the attributes they compare."""
 
-    likeness: float = 1.0  # an attribute alike speaks for the link
+    likeness: float = 1.0  # an attribute alike speaks for the link, the more alike the more
+    sharpness: int = 6
     unlikeness: float = 6.0  # an attribute unlike speaks against it
     prior: float = 0.2  # without evidence there is no link
     exclusive: float = 20.0  # one partner on either side
     transitive: float = 5.0  # a link implies that the hint means the repository
-    rho: float = 2.0
-    steps: int = 20
+    rho: float = 8.0
+    steps: int = 24
     lines: int = 3
     minutes: int = 25
     accept: float = 0.5
@@ -175,7 +176,7 @@ def likenesses(pairs: DataFrame, rules: Rules) -> DataFrame:
     return pairs.withColumns({"s_repo": repo, "s_path": path, "s_line": line, "s_time": time})
 
 
-def _toward(v: Column, s: Column, up: float, down: float) -> Column:
+def _toward(v: Column, s: Column, up: Column, down: Column) -> Column:
     """The point that up * max(0, s - x) + down * max(0, x - s) + (x - v)^2 / 2 is least at."""
     return F.when(v + up < s, v + up).when(v - down > s, v - down).otherwise(s)
 
@@ -221,7 +222,15 @@ def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
                 "move": F.least(F.lit(rules.transitive / r), F.greatest(F.lit(0.0), (v_t - v_e) / 2)),
             }
         )
-        copies = [_toward(y - F.col(f"u{i}"), F.col(s), rules.likeness / r, rules.unlikeness / r) for i, s in enumerate(unary)]
+        copies = [
+            _toward(
+                y - F.col(f"u{i}"),
+                F.col(s),
+                rules.likeness * F.pow(s, F.lit(rules.sharpness)) / r,
+                F.lit(rules.unlikeness / r),
+            )
+            for i, s in enumerate(unary)
+        ]
         copies.append(y - F.col(f"u{k}") - rules.prior / r)
         copies.append(_at_most_one(v_a, F.col("t_a"), F.col("n_a"), rules.exclusive / r))
         copies.append(_at_most_one(v_b, F.col("t_b"), F.col("n_b"), rules.exclusive / r))
@@ -231,7 +240,7 @@ def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
         x = x.withColumn("y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
         totals = x.groupBy("hint_a", "repo_b").agg(F.sum(F.col("ce") + F.col("ue")).alias("t"))
         m = means.join(totals, ["hint_a", "repo_b"])
-        m = m.withColumn("cf", _toward(z - F.col("uf"), F.col("s_hint"), rules.likeness / r, rules.unlikeness / r))
+        m = m.withColumn("cf", _toward(z - F.col("uf"), F.col("s_hint"), F.lit(rules.likeness / r), F.lit(rules.unlikeness / r)))
         new_z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") + F.col("cf") + F.col("uf")) / (F.col("n") + 1)))
         m = m.withColumn("z", new_z).withColumn("uf", F.col("uf") + F.col("cf") - F.col("z"))
         before = at_x, at_m

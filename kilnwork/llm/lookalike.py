@@ -174,7 +174,8 @@ def vocabulary(docs: DataFrame, text: str, flush: int = 200_000) -> DataFrame:
                 if len(seen) >= flush:
                     yield out()
                     seen.clear()
-        yield out()
+        if seen:
+            yield out()
 
     counted = spread(docs.select(text)).mapInPandas(run, "token string, form string, n bigint")
     return counted.groupBy("token", "form").agg(F.sum("n").alias("n"))
