@@ -1,0 +1,386 @@
+"""Dependency manifests, lock files, coverage reports, source modules and archives, as rows.
+
+Each parser is a plain function of one file's text and never raises; table functions apply it to
+(repo, path, text) rows in Arrow batches."""
+
+from __future__ import annotations
+
+import ast
+import io
+import json
+import re
+import tomllib
+import zipfile
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import PurePosixPath
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SPEC = re.compile(r"^\s*([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*([^;#]*)")
+IGNORED_DIRS = (".git", "node_modules", "vendor", "dist", "build", ".venv", "venv", "__pycache__")
+
+
+def pypi_name(name: str) -> str:
+    return re.sub(r"[-_.]+", "-", name).lower()
+
+
+def _spec(text: object) -> tuple[str, str] | None:
+    m = SPEC.match(text) if isinstance(text, str) else None
+    return (pypi_name(m[1]), m[2].strip()) if m and not text.lstrip().startswith("-") else None
+
+
+def _table(value: object) -> dict:
+    return value if isinstance(value, dict) else {}
+
+
+def _list(value: object) -> list:
+    return value if isinstance(value, list) else []
+
+
+Dependency = tuple[str, str, str | None, str]
+
+
+def pyproject(text: str) -> list[Dependency]:
+    """(ecosystem, name, spec, kind): project tables, groups, poetry's and others' own tables."""
+    try:
+        doc = tomllib.loads(text)
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return []
+    out: list[Dependency] = []
+
+    def add(items: Iterable, kind: str) -> None:
+        out.extend(("pypi", *s, kind) for s in map(_spec, items) if s)
+
+    project, tool = _table(doc.get("project")), _table(doc.get("tool"))
+    add(_list(project.get("dependencies")), "runtime")
+    for items in _table(project.get("optional-dependencies")).values():
+        add(_list(items), "optional")
+    for items in _table(doc.get("dependency-groups")).values():
+        add(_list(items), "dev")
+    for items in _table(_table(tool.get("pdm")).get("dev-dependencies")).values():
+        add(_list(items), "dev")
+    add(_list(_table(tool.get("uv")).get("dev-dependencies")), "dev")
+    poetry = _table(tool.get("poetry"))
+    groups = [("runtime", poetry.get("dependencies")), ("dev", poetry.get("dev-dependencies"))]
+    groups += [("dev", _table(g).get("dependencies")) for g in _table(poetry.get("group")).values()]
+    for kind, items in groups:
+        for name, spec in _table(items).items():
+            if name.lower() != "python":
+                version = spec if isinstance(spec, str) else _table(spec).get("version")
+                out.append(("pypi", pypi_name(name), version if isinstance(version, str) else None, kind))
+    return out
+
+
+def requirements(text: str) -> list[Dependency]:
+    return [("pypi", *s, "runtime") for s in map(_spec, text.splitlines()) if s]
+
+
+def package_json(text: str) -> list[Dependency]:
+    try:
+        doc = _table(json.loads(text))
+    except (ValueError, RecursionError):
+        return []
+    kinds = (("dependencies", "runtime"), ("peerDependencies", "runtime"), ("optionalDependencies", "optional"), ("devDependencies", "dev"))
+    return [
+        ("npm", name, spec if isinstance(spec, str) else None, kind)
+        for section, kind in kinds
+        for name, spec in _table(doc.get(section)).items()
+        if not (isinstance(spec, str) and re.match(r"(?:workspace|file|link|portal):", spec))
+    ]
+
+
+def _depth(roots: Iterable[str], after: dict[str, list[str]]) -> int:
+    level, queue = {}, deque()
+    for r in roots:
+        if r in after and r not in level:
+            level[r] = 1
+            queue.append(r)
+    while queue:
+        node = queue.popleft()
+        for x in after.get(node, ()):
+            if x in after and x not in level:
+                level[x] = level[node] + 1
+                queue.append(x)
+    return max(level.values(), default=0)
+
+
+def uv_lock(text: str, roots: Iterable[str] = ()) -> tuple[int, int] | None:
+    """(packages, depth) of a lock of [[package]] tables; poetry's has the same shape."""
+    try:
+        packages = [p for p in _list(tomllib.loads(text).get("package")) if isinstance(p, dict) and isinstance(p.get("name"), str)]
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return None
+    after: dict[str, list[str]] = {}
+    own = set()
+    for p in packages:
+        deps = p.get("dependencies")
+        names = [d.get("name") for d in deps if isinstance(d, dict)] if isinstance(deps, list) else list(_table(deps))
+        after.setdefault(pypi_name(p["name"]), []).extend(pypi_name(n) for n in names if isinstance(n, str))
+        if _table(p.get("source")).keys() & {"editable", "virtual"}:
+            own.add(pypi_name(p["name"]))
+    start = list(map(pypi_name, roots)) or [d for o in own for d in after[o]] or list(after)
+    graph = {k: v for k, v in after.items() if k not in own}
+    return len(graph), _depth(start, graph)
+
+
+def package_lock(text: str) -> tuple[int, int] | None:
+    """(packages, depth): nested version 1, or the flat tables of 2 and 3 with their search of
+    node_modules folders upwards."""
+    try:
+        doc = _table(json.loads(text))
+    except (ValueError, RecursionError):
+        return None
+    flat = doc.get("packages")
+    if isinstance(flat, dict):
+        after: dict[str, list[str]] = {}
+        for place, p in flat.items():
+            wanted = [n for k in ("dependencies", "optionalDependencies", *(("devDependencies",) if not place else ())) for n in _table(_table(p).get(k))]
+            found = []
+            for name in wanted:
+                at = place
+                while True:
+                    candidate = f"{at}/node_modules/{name}" if at else f"node_modules/{name}"
+                    if candidate in flat:
+                        found.append(candidate)
+                        break
+                    if not at:
+                        break
+                    at = at.rpartition("/node_modules/")[0] if "/node_modules/" in at else ""
+            after[place] = found
+        roots = after.pop("", [])
+        held = {k: v for k, v in after.items() if "node_modules/" in k and not _table(flat[k]).get("link")}
+        return len(held), _depth(roots, held)
+    count = deepest = 0
+    stack = [(_table(doc.get("dependencies")), 1)]
+    while stack:
+        level, depth = stack.pop()
+        for p in level.values():
+            count += 1
+            deepest = max(deepest, depth)
+            inner = _table(_table(p).get("dependencies"))
+            if inner:
+                stack.append((inner, depth + 1))
+    return count, deepest
+
+
+def yarn_lock(text: str) -> tuple[int, int]:
+    """(packages, depth) of the first version's text form."""
+    after: dict[str, list[str]] = {}
+    by_spec: dict[str, str] = {}
+    wanted: dict[str, list[str]] = {}
+    node, inside = "", False
+    for line in text.splitlines():
+        if not line.strip() or line.startswith("#"):
+            continue
+        if not line.startswith(" "):
+            specs = [s.strip().strip('"') for s in line.rstrip(":").split(",")]
+            node, inside = specs[0], False
+            wanted.setdefault(node, [])
+            by_spec.update(dict.fromkeys(specs, node))
+        elif line.strip() in ("dependencies:", "optionalDependencies:"):
+            inside = True
+        elif inside and line.startswith("    "):
+            name, _, spec = line.strip().partition(" ")
+            wanted[node].append(f"{name.strip(chr(34))}@{spec.strip().strip(chr(34))}")
+        else:
+            inside = False
+    for n, specs in wanted.items():
+        after[n] = [by_spec[s] for s in specs if s in by_spec]
+    inner = {x for v in after.values() for x in v}
+    return len(after), _depth([n for n in after if n not in inner] or list(after), after)
+
+
+def python_module(text: str) -> tuple[list[tuple[str, int, int, bool]], int, int, str | None]:
+    """(imports, lines, definitions, error); an import is (module, level, line, lazy)."""
+    lines = sum(bool(x.strip()) for x in text.splitlines())
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [], lines, 0, type(e).__name__
+    imports, definitions = [], 0
+    stack: list[tuple[ast.AST, bool]] = [(tree, False)]
+    while stack:
+        node, lazy = stack.pop()
+        if isinstance(node, ast.Import):
+            imports += [(a.name, 0, node.lineno, lazy) for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            base = node.module or ""
+            imports += [(f"{base}.{a.name}".strip("."), node.level, node.lineno, lazy) for a in node.names]
+        deeper = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
+        definitions += deeper or isinstance(node, ast.ClassDef)
+        stack += [(c, lazy or deeper) for c in ast.iter_child_nodes(node)]
+    return sorted(imports, key=lambda i: (i[2], i[0])), lines, definitions, None
+
+
+def safe_member(name: str) -> bool:
+    """A path inside the archive: relative, without '..', drives, NUL or backslashes."""
+    if not name or "\0" in name or "\\" in name or re.match(r"^[A-Za-z]:", name):
+        return False
+    return not PurePosixPath(name).is_absolute() and ".." not in PurePosixPath(name).parts
+
+
+def archive_members(content: bytes, most_files: int, most_bytes: int) -> tuple[list[tuple[str, int, bytes]], str | None]:
+    """(members, error): all or nothing. Sizes are checked while reading, not by what is claimed."""
+    out, total = [], 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            infos = [i for i in z.infolist() if not i.is_dir()]
+            if len(infos) > most_files:
+                return [], "too many files"
+            for i in infos:
+                if not safe_member(i.filename):
+                    return [], "unsafe path"
+                if i.flag_bits & 1:
+                    return [], "encrypted"
+                if (i.external_attr >> 16) & 0o170000 == 0o120000:
+                    return [], "symlink"
+                with z.open(i) as f:
+                    data = f.read(most_bytes - total + 1)
+                total += len(data)
+                if total > most_bytes:
+                    return [], "too large"
+                out.append((i.filename, len(data), data))
+    except (zipfile.BadZipFile, RuntimeError, OSError, EOFError, NotImplementedError):
+        return [], "not an archive"
+    return out, None
+
+
+def _each(files: DataFrame, parse: Callable[[str, str], list[tuple]], columns: str) -> DataFrame:
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r, p, *x) for r, p, t in zip(batch.repo, batch.path, batch.text) for x in parse(p, t)]
+            yield pd.DataFrame(rows, columns=["repo", "path", *names], dtype=object)
+
+    wanted = files.select("repo", "path", "text").where("path is not null and text is not null")
+    return wanted.mapInPandas(run, f"repo string, path string, {columns}")
+
+
+def dependencies(files: DataFrame) -> DataFrame:
+    """(repo, ecosystem, name, spec, kind): direct ones, once a repo, runtime before others."""
+
+    def parse(path: str, text: str) -> list[tuple]:
+        name = path.rpartition("/")[2]
+        if name == "pyproject.toml":
+            return pyproject(text)
+        if name == "package.json":
+            return package_json(text)
+        return requirements(text) if re.fullmatch(r"requirements[\w.-]*\.txt", name) else []
+
+    rows = _each(files, parse, "ecosystem string, name string, spec string, kind string")
+    rank = F.when(F.col("kind") == "runtime", 0).when(F.col("kind") == "optional", 1).otherwise(2)
+    best = F.min_by(F.struct("spec", "kind"), F.struct(rank, "path"))
+    return rows.groupBy("repo", "ecosystem", "name").agg(best.alias("b")).select("repo", "ecosystem", "name", "b.spec", "b.kind")
+
+
+def locks(files: DataFrame) -> DataFrame:
+    """(repo, path, packages, depth) of every readable lock file."""
+
+    def parse(path: str, text: str) -> list[tuple]:
+        name = path.rpartition("/")[2]
+        reader = {"uv.lock": uv_lock, "poetry.lock": uv_lock, "package-lock.json": package_lock, "yarn.lock": yarn_lock}.get(name)
+        if name == "pnpm-lock.yaml":
+            block = re.search(r"(?ms)^packages:\n(.*?)(?=^\S|\Z)", text)
+            return [(len(re.findall(r"(?m)^  \S.*:\s*$", block[1])), None)] if block else []
+        got = reader(text) if reader else None
+        return [got] if got else []
+
+    return _each(files, parse, "packages int, depth int")
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """(repo, path, lines, definitions, error, imports) of Python files outside ignored folders."""
+
+    def parse(path: str, text: str) -> list[tuple]:
+        if not path.endswith((".py", ".pyi")):
+            return []
+        imports, lines, definitions, error = python_module(text)
+        return [(lines, definitions, error, [dict(zip(("module", "level", "line", "lazy"), i)) for i in imports])]
+
+    kept = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED_DIRS))))
+    shape = "imports array<struct<module: string, level: int, line: int, lazy: boolean>>"
+    rows = kept.select("repo", "path", "text").where("path is not null and text is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r, p, *x) for r, p, t in zip(batch.repo, batch.path, batch.text) for x in parse(p, t)]
+            yield pd.DataFrame(out, columns=["repo", "path", "lines", "definitions", "error", "imports"], dtype=object)
+
+    return rows.mapInPandas(run, f"repo string, path string, lines int, definitions int, error string, {shape}")
+
+
+def resolved(parsed: DataFrame) -> DataFrame:
+    """(repo, src, dst, line, lazy, kind): imports against the files that are there.
+
+    Candidates are exploded with their rank and met with the files by an equi-join; the first that
+    exists wins. A relative import that meets none is unresolved, any other is external."""
+    imports = parsed.select("repo", F.col("path").alias("src"), F.explode("imports").alias("i")).select("repo", "src", "i.*")
+    imports = imports.withColumn("n", F.monotonically_increasing_id())
+    up = F.split("src", "/")
+    base = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - F.col("level"), F.lit(0))), "/")
+    target = F.replace("module", F.lit("."), F.lit("/"))
+    parent = F.when(target.contains("/"), F.regexp_replace(target, r"/[^/]+$", ""))
+    roots = F.when(F.col("level") > 0, F.array(base)).otherwise(F.array(F.lit(""), F.lit("src"), F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - 1, F.lit(0))), "/")))
+    ways = F.flatten(F.transform(roots, lambda r: F.flatten(F.transform(F.array(target, parent), lambda t: F.transform(F.array(F.lit(".py"), F.lit("/__init__.py")), lambda end: F.when(t.isNotNull(), F.concat(F.when(r == "", t).otherwise(F.concat_ws("/", r, t)), end)))))))
+    tried = imports.select("n", "repo", F.posexplode(ways).alias("rank", "dst")).where("dst is not null")
+    there = parsed.select("repo", F.col("path").alias("dst")).distinct()
+    hit = tried.join(there, ["repo", "dst"]).groupBy("n").agg(F.min_by("dst", "rank").alias("dst"))
+    out = imports.join(hit, "n", "left")
+    kind = F.when(F.col("dst").isNotNull(), "internal").when(F.col("level") > 0, "unresolved").otherwise("external")
+    return out.select("repo", "src", "dst", "module", "line", "lazy", kind.alias("kind"))
+
+
+def coverage(files: DataFrame) -> DataFrame:
+    """(repo, folder, covered, total): the first of cobertura, lcov and istanbul in each folder. JVM only."""
+    name, t = F.substring_index("path", "/", -1), F.col("text")
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(t, pattern, 1).try_cast("bigint")
+
+    def total(pattern: str) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), 1)
+        return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+
+    rank = F.when(name.rlike(r"^(coverage|cobertura).*\.xml$"), 1).when(name.rlike(r"^lcov\.info$"), 2).when(name == "coverage-summary.json", 3)
+    total_json = F.get_json_object(t, "$.total.lines.total").cast("bigint")
+    covered_json = F.get_json_object(t, "$.total.lines.covered").cast("bigint")
+    rows = files.select("repo", F.regexp_replace("path", r"/?[^/]+$", "").alias("folder"), "path", rank.alias("rank"),
+        F.when(rank == 1, number(r'lines-covered="(\d+)"')).when(rank == 2, total(r"(?m)^LH:(\d+)")).otherwise(covered_json).alias("covered"),
+        F.when(rank == 1, number(r'lines-valid="(\d+)"')).when(rank == 2, total(r"(?m)^LF:(\d+)")).otherwise(total_json).alias("total"),
+    ).where("rank is not null and total > 0")
+    best = F.min_by(F.struct("covered", "total"), F.struct("rank", "path"))
+    return rows.groupBy("repo", "folder").agg(best.alias("b")).select("repo", "folder", "b.covered", "b.total")
+
+
+def source_lines(files: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(repo, loc): lines that aren't blank, of files of up to `most` bytes. JVM only."""
+    lines = F.size(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != ""))
+    return files.where(F.octet_length("text") <= most).groupBy("repo").agg(F.sum(lines).cast("bigint").alias("loc"))
+
+
+def snippets(findings: DataFrame, files: DataFrame, lines: int = 20, chars: int = 4000) -> DataFrame:
+    """Findings with code_snippet filled from the file's lines where it is missing. JVM only."""
+    last = F.least(F.col("end_line"), F.col("start_line") + lines - 1)
+    found = F.slice(F.split("text", r"\r?\n"), F.greatest(F.col("start_line"), F.lit(1)), F.greatest(last - F.col("start_line") + 1, F.lit(0)))
+    cut = F.nullif(F.substring(F.replace(F.array_join(found, "\n"), F.lit("\0"), F.lit("")), 1, chars), F.lit(""))
+    texts = files.select(F.col("repo"), F.col("path").alias("file_path"), "text").dropDuplicates(["repo", "file_path"])
+    joined = findings.join(texts, ["repo", "file_path"], "left")
+    return joined.withColumn("code_snippet", F.coalesce(F.nullif("code_snippet", F.lit("")), cut)).drop("text")
+
+
+def archive_files(archives: DataFrame, most_files: int = 20_000, most_bytes: int = 500_000_000) -> DataFrame:
+    """(repo, path, content, error) of archives given as (repo, content): the binaryFile source's
+    rows. An archive that breaks a limit is one row with its error and no path."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repo, content in zip(batch.repo, batch.content):
+                members, error = archive_members(content, most_files, most_bytes)
+                rows = [(repo, p, data, None) for p, _, data in members] if not error else [(repo, None, None, error)]
+                yield pd.DataFrame(rows, columns=["repo", "path", "content", "error"], dtype=object)
+
+    return archives.select("repo", "content").where("content is not null").mapInPandas(run, "repo string, path string, content binary, error string")
