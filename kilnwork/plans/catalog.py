@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import findings, training, usage
+from kilnwork.plans import derived, findings, training, usage
 
-_MODULES = (training, findings, usage)
+_MODULES = (training, findings, usage, derived)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
