@@ -33,6 +33,7 @@ class Rules:
     transitive: float = 5.0  # a link implies that the hint means the repository
     rho: float = 8.0
     steps: int = 24
+    settled: float = 0.002  # stop once no value moves by more in a step
     lines: int = 3
     minutes: int = 25
     accept: float = 0.5
@@ -214,14 +215,14 @@ def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
         x = state.join(means.select("hint_a", "repo_b", "z"), ["hint_a", "repo_b"])
         v_a, v_b, v_t = y - F.col(f"u{k + 1}"), y - F.col(f"u{k + 2}"), y - F.col(f"u{k + 3}")
         v_e = z - F.col("ue")
-        alone_a, alone_b = F.col("n_a") == 1, F.col("n_b") == 1
-        x = x.withColumns(
-            {
-                "t_a": F.when(alone_a, v_a).otherwise(F.sum(v_a).over(Window.partitionBy("id_a"))),
-                "t_b": F.when(alone_b, v_b).otherwise(F.sum(v_b).over(Window.partitionBy("id_b"))),
-                "move": F.least(F.lit(rules.transitive / r), F.greatest(F.lit(0.0), (v_t - v_e) / 2)),
-            }
+        # Sums over rivals are windows, which only pairs with a rival need to be shuffled for.
+        x = x.withColumns({"v_a": v_a, "v_b": v_b, "move": F.least(F.lit(rules.transitive / r), F.greatest(F.lit(0.0), (v_t - v_e) / 2))})
+        alone = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+        free = x.where(alone).withColumns({"t_a": F.col("v_a"), "t_b": F.col("v_b")})
+        rivals = x.where(~alone).withColumns(
+            {f"t_{side}": F.sum(f"v_{side}").over(Window.partitionBy(f"id_{side}")) for side in "ab"}
         )
+        x = free.unionByName(rivals)
         copies = [
             _toward(
                 y - F.col(f"u{i}"),
@@ -232,22 +233,27 @@ def solve(pairs: DataFrame, rules: Rules) -> DataFrame:
             for i, s in enumerate(unary)
         ]
         copies.append(y - F.col(f"u{k}") - rules.prior / r)
-        copies.append(_at_most_one(v_a, F.col("t_a"), F.col("n_a"), rules.exclusive / r))
-        copies.append(_at_most_one(v_b, F.col("t_b"), F.col("n_b"), rules.exclusive / r))
+        copies.append(_at_most_one(F.col("v_a"), F.col("t_a"), F.col("n_a"), rules.exclusive / r))
+        copies.append(_at_most_one(F.col("v_b"), F.col("t_b"), F.col("n_b"), rules.exclusive / r))
         copies.append(v_t - F.col("move"))
         x = x.withColumns({f"c{i}": c for i, c in enumerate(copies)} | {"ce": v_e + F.col("move")})
         mean = sum(F.col(f"c{i}") + F.col(f"u{i}") for i in range(len(copies))) / len(copies)
-        x = x.withColumn("y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
-        totals = x.groupBy("hint_a", "repo_b").agg(F.sum(F.col("ce") + F.col("ue")).alias("t"))
-        m = means.join(totals, ["hint_a", "repo_b"])
+        x = x.withColumn("new_y", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
+        x = x.withColumn("moved", F.abs(F.col("new_y") - y)).drop("y").withColumnRenamed("new_y", "y")
+        x, new_x = written(x.drop("z", "move", "t_a", "t_b", "v_a", "v_b"))
+        totals = x.groupBy("hint_a", "repo_b").agg(
+            F.sum(F.col("ce") + F.col("ue")).alias("t"), F.max("moved").alias("moved")
+        )
+        m = means.drop("moved").join(totals, ["hint_a", "repo_b"])
         m = m.withColumn("cf", _toward(z - F.col("uf"), F.col("s_hint"), F.lit(rules.likeness / r), F.lit(rules.unlikeness / r)))
         new_z = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") + F.col("cf") + F.col("uf")) / (F.col("n") + 1)))
         m = m.withColumn("z", new_z).withColumn("uf", F.col("uf") + F.col("cf") - F.col("z"))
-        before = at_x, at_m
-        x, at_x = written(x.drop("z", "move", "t_a", "t_b"))
-        means, at_m = written(m.select("hint_a", "repo_b", "s_hint", "n", "z", "uf"))
-        for path in before:
+        new_means, new_m = written(m.select("hint_a", "repo_b", "s_hint", "n", "z", "uf", "moved"))
+        for path in (at_x, at_m):
             discard(state.sparkSession, path)
+        means, at_x, at_m = new_means, new_x, new_m
+        if (means.agg(F.max("moved")).first()[0] or 0.0) < rules.settled:
+            return x.select(*keep, F.col("y").alias("confidence"))
         x = x.join(means.select("hint_a", "repo_b", "z"), ["hint_a", "repo_b"])
         duals = {f"u{i}": F.col(f"u{i}") + F.col(f"c{i}") - y for i in range(len(copies))}
         x = x.withColumns(duals | {"ue": F.col("ue") + F.col("ce") - z})
