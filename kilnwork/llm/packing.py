@@ -220,11 +220,15 @@ def pack(
 
     A text that exceeds a capacity is cut into pieces of the capacity and a rest; no other is cut.
     Texts without tokens (null, empty) take no space and stand in container 0 as piece 0. Keys
-    count once; rows without a key are left out; ties in size go by a hash of the key, so the
+    count once; rows without a key are left out; capacities that aren't positive have no containers; ties in size go by a hash of the key, so the
     result doesn't depend on partitions. The broadcast plan has at most capacity + resolution
     patterns of at most sqrt(2 * capacity) sizes, whatever the corpus."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
+    shape = f"capacity_id int, container_id bigint, {key} {kind}, piece int, start_token int, n_tokens int"
+    capacities = {k: c for k, c in capacities.items() if c and c > 0}
+    if not capacities:
+        return spark.createDataFrame([], shape)
     counts = cut(token_counts(docs, key, text, tokenizer))
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = None
@@ -261,7 +265,6 @@ def pack(
                 batch["capacity_id"] = capacity_id
                 yield batch[["capacity_id", "container_id", key, "piece", "start_token", "n_tokens"]]
 
-        shape = f"capacity_id int, container_id bigint, {key} {kind}, piece int, start_token int, n_tokens int"
         placed = ranked.mapInPandas(place, shape)
         empty = pieces.where("n_tokens <= 0").select(
             F.lit(capacity_id).alias("capacity_id"),

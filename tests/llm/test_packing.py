@@ -62,3 +62,4 @@ def test_pack(spark):
 def test_pack_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack(df, {1: 64}).count() == 0
+    assert packing.pack(df, {}).count() == packing.pack(df, {1: 0, 2: None}).count() == 0
