@@ -40,7 +40,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
-    return shapes.payload_runs(table(spark, d, "raw_records"))
+    runs = shapes.payload_runs(table(spark, d, "raw_records"))
+    return runs.withColumn("received_at", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def p3_results(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +99,32 @@ WITH p AS (
 )
 """
 
+_RUNS = """
+WITH r AS (SELECT DISTINCT ON (record_id) * FROM raw_records),
+x AS (SELECT record_id, tool, CASE tool WHEN 'semgrep' THEN json_extract(payload, '$.results') ELSE payload::JSON END AS rs FROM r WHERE json_valid(payload)),
+z AS (SELECT record_id, tool, pos, json_extract(rs, '$[' || pos || ']') AS res
+  FROM (SELECT *, unnest(range(0, CAST(json_array_length(rs) AS BIGINT))) AS pos FROM x WHERE json_type(rs) = 'ARRAY')),
+m AS (SELECT record_id, tool, pos, json_extract(res, CASE tool WHEN 'semgrep' THEN '$.extra.metadata' ELSE '$.fix' END) AS h FROM z),
+h AS (SELECT record_id, tool, pos, CASE WHEN json_type(h) = 'VARCHAR' THEN TRY_CAST(h ->> '$' AS JSON) ELSE h END AS h FROM m),
+f AS (SELECT record_id, pos, name, json_extract(h, '$.' || name) AS v
+  FROM h, (VALUES ('semgrep', 'cwe'), ('semgrep', 'references'), ('ruff', 'edits')) k(t, name) WHERE t = tool),
+i AS (SELECT record_id, pos, name, k FROM (SELECT *, unnest(range(0, CAST(json_array_length(v) AS BIGINT))) AS k FROM f WHERE json_type(v) = 'ARRAY')
+    WHERE json_type(json_extract(v, '$[' || k || ']')) <> 'NULL'
+  UNION ALL SELECT record_id, pos, name, 0 FROM f WHERE json_type(v) NOT IN ('ARRAY', 'NULL')),
+s AS (SELECT DISTINCT ON (result_id) * FROM semgrep_output), u AS (SELECT DISTINCT ON (result_id) * FROM ruff_output),
+a AS (SELECT result_id, 'cwe' AS name, unnest(extra.metadata.cwe) AS v, generate_subscripts(extra.metadata.cwe, 1) - 1 AS k FROM s
+  UNION ALL SELECT result_id, 'references', unnest(extra.metadata."references"), generate_subscripts(extra.metadata."references", 1) - 1 FROM s),
+b AS (SELECT result_id, unnest(fix.edits) AS v, generate_subscripts(fix.edits, 1) - 1 AS k FROM u)
+"""
+
 ORACLE = {
+    "p3_runs": """SELECT record_id, tool, scan_id, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS received_at, json_valid(payload) AS complete,
+      CAST(CASE WHEN NOT json_valid(payload) THEN 0 WHEN tool = 'semgrep' THEN coalesce(json_array_length(json_extract(payload, '$.results')), 0) ELSE coalesce(json_array_length(payload), 0) END AS INT) AS n_results
+      FROM (SELECT DISTINCT ON (record_id) * FROM raw_records)""",
+    "p3_found": _RUNS
+    + """SELECT 'raw_records' AS source_table, record_id, CAST(pos AS INT) AS result_pos, name AS field_name, CAST(k AS INT) AS item_pos FROM i
+      UNION ALL SELECT 'semgrep_output', result_id, 0, name, CAST(k AS INT) FROM a WHERE v IS NOT NULL
+      UNION ALL SELECT 'ruff_output', result_id, 0, 'edits', CAST(k AS INT) FROM b WHERE v IS NOT NULL""",
     "p2_found": _P2 + "SELECT ref_table, ref_field, ref_id, target_id FROM x WHERE reason IS NOT NULL",
     "p2_by_month": _P2
     + """SELECT ref_table, ref_field, reason, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month,
