@@ -18,25 +18,30 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("instability", F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 4))
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node each node is connected with.
 
-    Every round a node takes the least label among its neighbours' and its label's own label, so
-    labels jump along chains and the rounds are about the logarithm of a chain's length. Hubs are
+    Every round a node takes the least of its label's own label and its neighbours' labels' own
+    labels, and the node that is its label takes that of its neighbours too (FastSV), so whole
+    regions are hooked onto smaller ones and labels jump along chains. Rounds go on until no label
+    changes: labels only fall, so they end, and then all ends of edges agree. Hubs are
     pre-aggregated by the partial minimum."""
     spark = edges.sparkSession
     both = edges.select("src", "dst").where("src is not null and dst is not null")
     both, at_edges = written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels, at = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
-    for _ in range(most):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("src", "node"), "node")
-        step = step.select("node", F.col("component").alias("old"), F.least("component", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("component").alias("up"))
-        jumped = step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("component"))
-        new, new_at = written(jumped)
+    while True:
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        jumped, at_jumped = written(labels.join(up, "component").select("node", "component", "up"))
+        near = both.join(jumped.select(F.col("node").alias("dst"), "up"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("up").alias("near"))
+        step = jumped.join(near, "node")
+        own = F.struct("node", F.least("up", "near").alias("label"), F.col("component").alias("old"))
+        hook = F.struct(F.col("component").alias("node"), F.col("near").alias("label"), F.lit(None).cast(dict(labels.dtypes)["component"]).alias("old"))
+        taken = step.select(F.explode(F.array(own, hook)).alias("t")).groupBy("t.node").agg(F.min("t.label").alias("component"), F.max("t.old").alias("old"))
+        new, new_at = written(taken)
         changed = new.where("old <> component").limit(1).count()
         discard(spark, at)
+        discard(spark, at_jumped)
         labels, at = new.select("node", "component"), new_at
         if not changed:
             break

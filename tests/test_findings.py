@@ -155,3 +155,11 @@ def test_graph(spark):
 def test_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "src bigint, dst bigint")
     assert components(chain).where("component = 0").count() == 201
+
+
+def test_chains_in_any_order(spark):
+    late = [*range(2, 201), 1]  # the least node comes last
+    mixed = random.Random(1).sample(range(1000, 2000), 1000)
+    edges = spark.createDataFrame([p for c in (late, mixed) for p in zip(c, c[1:])], "src bigint, dst bigint")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == dict.fromkeys(late, 1) | dict.fromkeys(mixed, 1000)
