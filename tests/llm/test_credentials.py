@@ -101,3 +101,29 @@ def test_value_alone_tells(text):
 def test_long_run_of_characters():
     text = 'x = load("' + "0123456789abcdef" * 20_000 + '")\n' + ALONE[0]
     assert [f.path for f in c.find(text)] == ["gh"]
+
+
+PATHS = [
+    ("db:\n  auth_token: Ember!Rivet947", ["db.auth_token"]),
+    ("secrets:\n  stripe: Ember!Rivet947\nother:\n  stripe: Ember!Rivet947", ["secrets.stripe"]),
+    ("secrets:\n- stripe: 'EmberRivet947'\n- region: us-east-1", ["secrets.stripe"]),
+    ("[credentials]\nvalue=Ember!Rivet947\n[other]\nvalue=Ember!Rivet947", ["credentials.value"]),
+    ("[a.credentials]\nstripe = { value = 'EmberRivet947' }", ["a.credentials.stripe.value"]),
+    ('{\n  "auth":\n  {"list": [{"value": "EmberRivet947"}]}, "b": {"value": "EmberRivet947"}}', ["auth.list.value"]),
+    ('database "main" {\n  password = "EmberRivet947"\n}', ["database.main.password"]),
+    ("<auth>\n <value>EmberRivet947</value>\n</auth>\n<value>EmberRivet947</value>", ["auth.value"]),
+    ("a:\n  b:\n    pwd: EmberRivet947\n  pwd: EmberRivet947\npwd: EmberRivet947", ["a.b.pwd", "a.pwd", "pwd"]),
+    ('try:\n    password = "EmberRivet947"', ["password"]),
+    ('auth: function() { x = "EmberRivet947" }', []),
+    ('auth = f(name="EmberRivet947")', []),
+]
+
+
+@pytest.mark.parametrize(("text", "paths"), PATHS)
+def test_key_paths(text, paths):
+    assert [f.path for f in c.find(text)] == paths
+
+
+def test_key_paths_of_numbered_lines():
+    text = "99 secrets:\n100   stripe: EmberRivet947\n101 stripe: EmberRivet947\n"
+    assert [f.path for f in c.find(text, numbered=True)] == ["secrets.stripe"]
