@@ -69,6 +69,9 @@ class ItemIndex:
         }
         self.block = block
         self.common = common
+        # What a triple that isn't common weighs at least, in the longest passage.
+        often, longest = min(n, max(5, 0.02 * n)), max(map(len, self.passages), default=0)
+        self.lowest = math.log(1 + (n - often + 0.5) / (often + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * longest / mean))
 
     def search(self, terms: set[Term], threshold: float) -> dict[int, float]:
         """Items whose BM25 score for the query is at least the threshold, all of them."""
@@ -197,7 +200,9 @@ def leaks(
     the item's answer that the document has in a row, for the report. Null and empty texts or
     passages leak nothing; repeated items and documents count once; rows without a key are left
     out. Passages of `window` words overlap by `step`, so a reproduction of up to
-    window - step + 1 words lies whole in one, and longer ones give a query more triples."""
+    window - step + 1 words lies whole in one, and longer ones give a query more triples. A
+    candidate scores `threshold`, or what the triples of one stretch weigh if that is less, as it
+    is where items are few or of unequal length."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     once = items.select("eval_id", "passage", "answer").where("eval_id is not null and passage is not null")
@@ -229,11 +234,12 @@ def leaks(
             got: dict[int, tuple[int, float, int]] = {}
             for doc in reading:
                 candidates: dict[int, float] = {}
+                enough = min(threshold, (stretch - 2) * x.lowest)
                 known = [t if t in x.lists else None for t in triples(doc)]
                 for at in range(0, len(known), step):
                     query = set(known[at : at + window]) - {None}
                     if query:
-                        for item, score in x.search(query, threshold).items():
+                        for item, score in x.search(query, enough).items():
                             candidates[item] = max(score, candidates.get(item, 0.0))
                 if not candidates:
                     continue

@@ -80,3 +80,11 @@ def test_search_is_exhaustive():
         for threshold in (3.0, 6.0, 11.0):
             got = index.search(query, threshold)
             assert set(got) == {i for i, s in scores.items() if s >= threshold}
+
+
+def test_few_items(spark):
+    passages = [" ".join(f"{c}word{k}" for k in range(30)) for c in "abc"]
+    docs = spark.createDataFrame([(k, "Intro. " + " ".join(p.split()[4:26]) + " End.") for k, p in enumerate(passages)], "doc_id bigint, text string")
+    for n in (1, 2, 3):
+        items = spark.createDataFrame([(k, p, "") for k, p in enumerate(passages[:n])], "eval_id bigint, passage string, answer string")
+        assert {(r.eval_id, r.doc_id, r.n_words) for r in leaks.leaks(docs, items).collect()} == {(k, k, 22) for k in range(n)}
