@@ -59,9 +59,10 @@ def permutation_p(df: DataFrame, x: str, y: str, replicates: int = 2000, seed: i
 
 def inversions(df: DataFrame, key: str, label: str, score: str, gap: int = 2) -> DataFrame:
     """(better, worse): labels at least `gap` apart whose scores are the other way round. Labels
-    are few, so pairs of labels are met first, by equality."""
+    are few, so all pairs of labels are met first, then rows by equality."""
     labels = df.select(label).distinct()
-    pairs = labels.select(F.col(label).alias("hi"), F.explode(F.array(*[F.col(label) - g for g in range(gap, gap + 10)])).alias("lo"))
+    apart = F.col("hi") - F.col("lo")
+    pairs = labels.toDF("hi").crossJoin(labels.toDF("lo")).where((apart >= gap) & ~F.isnan(apart))
     a = df.select(F.col(key).alias("better"), F.col(label).alias("hi"), F.col(score).alias("sa"))
     b = df.select(F.col(key).alias("worse"), F.col(label).alias("lo"), F.col(score).alias("sb"))
     return a.join(F.broadcast(pairs), "hi").join(b, "lo").where("sa < sb").select("better", "worse")

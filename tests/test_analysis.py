@@ -109,3 +109,10 @@ def test_sinks(spark, tmp_path):
     assert one == two and hidden[1].t is None
     old = spark.createDataFrame([(datetime(2020, 1, 1), "x"), (datetime(2026, 1, 1), "y")], "at timestamp, t string")
     assert [r.t for r in sinks.purged(old, ["t"], "at", F.lit(datetime(2025, 1, 1))).collect()] == [None, "y"]
+
+
+def test_inversions_at_any_distance(spark):
+    rows = [("far", 30.0, 0.1), ("half", 2.5, 0.3), ("near", 1.0, 0.5), ("low", 0.0, 0.4), ("none", None, 0.9)]
+    df = spark.createDataFrame(rows, "k string, label double, score double")
+    got = {(r.better, r.worse) for r in evaluation.inversions(df, "k", "label", "score").collect()}
+    assert got == {("far", "half"), ("far", "near"), ("far", "low"), ("half", "low")}
