@@ -25,22 +25,22 @@ OTHER = "авеорсухіјѕһԁԛԝӏАВЕЗІЈКМНОРСТХУЅԚԜο
 LATIN = "aвeopcyxijshdqwlABEЗIJKMHOPCTXYSQWoABEZHIKMNOPTYX"
 HYPHENS = "‐‑"
 # Format characters that are drawn.
-DRAWN_FORMATS = frozenset(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2]))
+DRAWN_FORMATS = frozenset(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0x13430, 0x13440)]))
 MARKS = r"̀-゙゚ͯ"
 
 
 @cache
 def ignorable() -> frozenset[str]:
     """Characters that draw nothing: format characters, joiners' grapheme glue, variation selectors."""
-    formats = {c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cf"} - DRAWN_FORMATS
-    return frozenset(formats | {"͏"} | set(map(chr, range(0xFE00, 0xFE10))))
+    formats = {c for c in map(chr, [*range(0x20000), *range(0xE0000, 0xE1000)]) if unicodedata.category(c) == "Cf"} - DRAWN_FORMATS
+    return frozenset(formats | {"͏"} | set(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)])))
 
 
 @cache
 def width_table() -> dict[int, str]:
     """Width variants, blanks and ligatures to their plain form, by Unicode's own decompositions."""
     table: dict[int, str] = {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x10000):  # none beyond
         char = chr(code)
         kind, _, codes = unicodedata.decomposition(char).partition("> ")
         if unicodedata.category(char) == "Zs":
@@ -62,8 +62,11 @@ LOOK = str.maketrans(OTHER, LATIN)
 
 @cache
 def token_pattern() -> re.Pattern[str]:
-    drawn_nothing = "".join(sorted(ignorable()))
-    return re.compile(rf"(?:[^\W_]|[{MARKS}{re.escape(drawn_nothing)}])+")
+    codes = set(map(ord, ignorable()))
+    # As ranges: single characters beyond the basic plane are tried one by one.
+    firsts, lasts = sorted(c for c in codes if c - 1 not in codes), sorted(c for c in codes if c + 1 not in codes)
+    drawn_nothing = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts))
+    return re.compile(rf"(?:[^\W_]|[{MARKS}{drawn_nothing}])+")
 
 
 def skeleton(text: str) -> str:

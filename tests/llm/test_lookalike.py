@@ -89,3 +89,9 @@ def test_empty_table(spark):
 def test_very_long_text(spark):
     rows = [(1, "wоrd " * 60_000), (2, "word " * 60_000)]
     assert look.visual_pairs(frame(spark, rows)).count() == 1
+
+
+def test_ignorables_beyond_the_basic_plane():
+    for sign in ("\U000e0100", "\U000e01ef", "\U000e0001", "\U000e0041", "\U000e007f"):
+        assert look.skeleton(f"ke{sign}y é") == look.skeleton("key é")
+    assert look.skeleton("a\U000110bd1") != look.skeleton("a1")
