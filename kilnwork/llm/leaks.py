@@ -1,29 +1,45 @@
 """Test items that leaked into a corpus.
 
-Test items are indexed by BM25 over adjacent word triples, impacts kept in blocks with their
-maximum. Every passage of every document is a query; block-max WAND returns the items above a
-threshold without scoring the rest. What it returns is verified word by word. The index holds
-test items only: they are counted first and taken in blocks of a fixed number, so what is
-broadcast is bounded and every document meets every item."""
+Test items are indexed by BM25 over word triples, impacts kept in blocks with their maximum. Every
+passage of every document is a query; block-max WAND returns the items above a threshold without
+scoring the rest. What it returns is verified word by word, question and answer.
+
+Word and term counts are taken over all items, and an item's threshold is the least score that a
+reproduction of it can have, so neither their number nor the way they are split decides what is
+found. Three words that follow each other in a reproduction may have a replaced one between each
+two of them; a triple is indexed in all four such spacings. The index is broadcast in parts of a bounded
+number of bytes, and every document meets every part."""
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kilnwork.llm.lookalike import skeleton
-from kilnwork.runtime import spread
+from kilnwork.runtime import discard, spread, written
 
 WORD = re.compile(r"[^\W_]+")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
+SPACINGS = ((1, 2), (1, 3), (2, 3), (2, 4))
+PAIR = len(SPACINGS)
+
+
+def sure(shortest: int, own: int, stretch: int) -> tuple[int, int]:
+    """Triples, and triples with an own word, that a chain has at least: k stretches of e equal words
+    each cover up to 2e - 1 words and have e - 2 triples; at the end of a stretch each further own word is
+    in one more of them."""
+    if stretch < 3:
+        raise ValueError("a stretch has a triple from three words on")
+    triples = min(max(k * stretch, -(-(shortest + k) // 2)) - 2 * k for k in range(1, shortest + 1))
+    return triples, min(-(-own // 2), stretch - 2, triples)
 
 
 def words(text: str) -> list[str]:
@@ -34,48 +50,121 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-Pair = tuple[str, str]
-Term = tuple[str, str, str]
+def hashed(doc: list[str]) -> np.ndarray:
+    """A number for each word, the same on every machine."""
+    return pd.util.hash_array(np.array(doc, dtype=object)) if doc else np.empty(0, np.uint64)
+
+
+def _mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+    out = np.full(len(parts[0]), kind + 1, np.uint64)
+    for part in parts:
+        out = (out ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
 
+def triple_codes(h: np.ndarray) -> list[np.ndarray]:
+    """For each spacing the codes of the triples by first word."""
+    return [_mixed(kind, h[: len(h) - b], h[a : len(h) - b + a], h[b:]) if len(h) > b else h[:0] for kind, (a, b) in enumerate(SPACINGS)]
 
-def triples(doc: list[str]) -> list[Term]:
-    return list(zip(doc, doc[1:], doc[2:]))
+
+def pair_codes(h: np.ndarray) -> np.ndarray:
+    return _mixed(PAIR, h[:-1], h[1:]) if len(h) > 1 else h[:0]
 
 
 class ItemIndex:
-    """BM25 over the items' word triples, with block maxima. k1 and b are BM25's own."""
-
-    def __init__(self, items: list[tuple[int, str, str]], common: set[Pair], block: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
-        self.ids = [i for i, _, _ in items]
-        self.passages = [words(p or "") for _, p, _ in items]
-        self.answers = [words(a or "") for _, _, a in items]
-        counts = [Counter(triples(p)) for p in self.passages]
-        frequency = Counter(term for c in counts for term in c)
-        n, mean = len(items), max(1.0, sum(map(len, self.passages)) / max(1, len(items)))
-        postings: dict[Term, list[tuple[int, float]]] = defaultdict(list)
-        for item, c in enumerate(counts):
-            norm = k1 * (1 - b + b * len(self.passages[item]) / mean)
-            for term, tf in c.items():
-                idf = math.log(1 + (n - frequency[term] + 0.5) / (frequency[term] + 0.5))
-                postings[term].append((item, idf * tf * (k1 + 1) / (tf + norm)))
-        self.lists = {
-            term: (
-                [i for i, _ in p],
-                [w for _, w in p],
-                [max(w for _, w in p[k : k + block]) for k in range(0, len(p), block)],
-                max(w for _, w in p),
-            )
-            for term, p in postings.items()
-        }
-        self.block = block
-        self.common = common
-        # What a triple that isn't common weighs at least, in the longest passage.
-        often, longest = min(n, max(5, 0.02 * n)), max(map(len, self.passages), default=0)
-        self.lowest = math.log(1 + (n - often + 0.5) / (often + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * longest / mean))
-
-    def search(self, terms: set[Term], threshold: float) -> dict[int, float]:
+    """BM25 over the items' word triples, with block maxima. k1 and b are BM25's own.
+
+    frequency: items by code, where more than one; total and mean: number of all items and
+    their mean length. An item's impacts are divided by the least score of a reproduction of it that
+    verification can accept: sure[0] triples with different first words, sure[1] of them with
+    a word of the item's own."""
+
+    def __init__(
+        self,
+        items: list[tuple[int, list[str], list[str]]],
+        frequency: dict[int, int],
+        total: int,
+        mean: float,
+        common: set[int],
+        sure: tuple[int, int] = (8, 4),
+        block: int = 16,
+        k1: float = 1.2,
+        b: float = 0.75,
+    ) -> None:
+        vocab: dict[str, int] = {}
+        coded = [[[vocab.setdefault(w, len(vocab)) for w in part] for part in (p, a)] for _, p, a in items]
+        self.ids, self.vocab, self.block = [i for i, _, _ in items], vocab, block
+        self.passages, self.answers = [c[0] for c in coded], [c[1] for c in coded]
+        self.hashes = hashed(list(vocab))
+        self.own = [np.ones(len(p), bool) for p in self.passages]
+        self.least = np.zeros(len(items))
+        codes, owners, impacts = [], [], []
+        for item, passage in enumerate(self.passages):
+            h = self.hashes[np.array(passage, np.int64)] if passage else self.hashes[:0]
+            own = self.own[item]
+            for k, pair in enumerate(pair_codes(h).tolist()):
+                if pair in common:
+                    own[k] = own[k + 1] = False
+            parts = triple_codes(h)
+            if not len(parts[0]):
+                continue
+            terms, place, tf = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            df = np.array([frequency.get(t, 1) for t in terms.tolist()], float)
+            idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+            impact = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(passage) / mean))
+            any_at, own_at = np.full((2, len(parts[0])), np.inf)
+            at = 0
+            for part, (i, j) in zip(parts, SPACINGS):
+                n = len(part)
+                each = (impact / tf)[place[at : at + n]]
+                any_at[:n] = np.minimum(any_at[:n], each)
+                own_at[:n] = np.minimum(own_at[:n], np.where(own[:n] | own[i : n + i] | own[j : n + j], each, np.inf))
+                at += n
+            least = np.sort(own_at)[: sure[1]].sum() + np.sort(any_at)[: sure[0] - sure[1]].sum()
+            if len(any_at) < sure[0] or not np.isfinite(least):
+                continue  # nothing that verification accepts has so few words
+            self.least[item] = least
+            codes.append(terms)
+            owners.append(np.full(len(terms), item, np.int32))
+            impacts.append(impact / max(least, 1e-12))
+        every = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.concatenate(owners)[order] if codes else np.empty(0, np.int32)
+        self.impacts = np.concatenate(impacts)[order] if codes else np.empty(0)
+        self.terms, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
+        self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.empty(0)
+        self.lists: dict[int, tuple[list[int], list[float], list[float], float]] = {}
+
+    def posting(self, term: int) -> tuple[list[int], list[float], list[float], float]:
+        got = self.lists.get(term)
+        if got is None:
+            a, b = self.starts[term], self.starts[term + 1]
+            w = self.impacts[a:b].tolist()
+            got = self.owners[a:b].tolist(), w, [max(w[k : k + self.block]) for k in range(0, len(w), self.block)], max(w)
+            if len(self.lists) < 50_000:
+                self.lists[term] = got
+        return got
+
+    def matched(self, h: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Terms by spacing and first word, -1 for none, and the most that those at a word weigh."""
+        most, out = np.zeros(len(h)), []
+        for part, (a, b) in zip(triple_codes(h), SPACINGS):
+            n = len(part)
+            term = np.full(n, -1, np.int64)
+            whole = np.flatnonzero(known[:n] & known[a : n + a] & known[b : n + b])
+            if len(whole) and len(self.terms):
+                at = np.minimum(np.searchsorted(self.terms, part[whole]), len(self.terms) - 1)
+                same = self.terms[at] == part[whole]
+                term[whole[same]] = at[same]
+                most[whole[same]] += self.most[at[same]]
+            out.append(term)
+        return out, most
+
+    def search(self, terms: list[int], threshold: float) -> dict[int, float]:
         """Items whose BM25 score for the query is at least the threshold, all of them."""
-        lists = [self.lists[t] for t in terms if t in self.lists]
+        lists = [self.posting(t) for t in terms]
         if sum(x[3] for x in lists) < threshold:
             return {}
         found: dict[int, float] = {}
@@ -118,42 +207,40 @@ class ItemIndex:
             live = [c for c in live if c[0] >= 0]
         return found
 
-    def overlap(self, doc: list[str], places: dict[tuple[str, str], list[int]], item: int, least: int) -> tuple[int, int]:
-        """(words, own words) of the best chain of stretches in which the document follows the
-        passage, isolated replaced words allowed; own words are none that many items share."""
+    def overlap(self, doc: list[int], places: dict[tuple[int, int, int], list[int]], item: int, least: int) -> tuple[int, int, int]:
+        """(words, own words, own words that are equal) of the best chain of stretches in which the
+        document follows the passage, isolated replaced words allowed."""
         passage = self.passages[item]
         offsets: Counter[int] = Counter()
-        for k, pair in enumerate(zip(passage, passage[1:])):
-            for at in places.get(pair, ()):
-                offsets[at - k] += 1
+        for d in (1, 2):
+            for k, (a, b) in enumerate(zip(passage, passage[d:])):
+                for at in places.get((a, b, d), ()):
+                    offsets[at - k] += 1
         stretches = []
         for offset, n in offsets.items():
             if n >= least - 1:
-                stretches += self._stretches(doc, passage, offset, least)
+                stretches += self._stretches(doc, item, offset, least)
         stretches.sort()
-        best: list[tuple[int, int]] = []
-        top = (0, 0)
-        for k, (a, b, at, own) in enumerate(stretches):  # passage from a to b, document from at
-            here = (b - a, own)
+        best: list[tuple[int, int, int]] = []
+        top = (0, 0, 0)
+        for k, (a, b, at, own, equal) in enumerate(stretches):  # passage from a to b, document from at
+            here = (b - a, own, equal)
             for j in range(k):
-                a2, b2, at2, _ = stretches[j]
+                a2, b2, at2, _, _ = stretches[j]
                 end = at2 + b2 - a2
                 if b2 <= a and end <= at <= end + 40 and best[j][0] + b - a > here[0]:
-                    here = (best[j][0] + b - a, best[j][1] + own)
+                    here = (best[j][0] + b - a, best[j][1] + own, best[j][2] + equal)
             best.append(here)
             top = max(top, here)
         return top
 
-    def _stretches(self, doc: list[str], passage: list[str], offset: int, least: int) -> list[tuple[int, int, int, int]]:
-        out, start, last, same = [], -1, -2, 0
+    def _stretches(self, doc: list[int], item: int, offset: int, least: int) -> list[tuple[int, int, int, int, int]]:
+        passage, own, out, start, last, same = self.passages[item], self.own[item], [], -1, -2, 0
 
         def close() -> None:
             if start >= 0 and same >= least:
-                shared: set[int] = set()
-                for k in range(start, last):
-                    if (passage[k], passage[k + 1]) in self.common:
-                        shared |= {k, k + 1}
-                out.append((start, last + 1, start + offset, last + 1 - start - len(shared)))
+                mine = [k for k in range(start, last + 1) if own[k]]
+                out.append((start, last + 1, start + offset, len(mine), sum(passage[k] == doc[k + offset] for k in mine)))
 
         for k in range(max(0, -offset), min(len(passage), len(doc) - offset)):
             if passage[k] == doc[k + offset]:
@@ -165,17 +252,41 @@ class ItemIndex:
         return out
 
 
-def common_pairs(items: DataFrame, total: int, shared: float = 0.02, least: int = 5) -> set[Pair]:
-    """Word pairs of more than a share of all items, and of more than `least`. A passage of w words
-    has w pairs, so there are at most w / shared of them, however many items there are."""
+def _read(items: DataFrame) -> DataFrame:
+    """(eval_id, passage, answer, n) with words parted by blanks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [pair for p in map(words, batch.passage) for pair in set(zip(p, p[1:]))]
-            yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
+            read = [words(p) for p in batch.passage]
+            answers = [" ".join(words(a or "")) for a in batch.answer]
+            yield pd.DataFrame({"eval_id": batch.eval_id, "passage": map(" ".join, read), "answer": answers, "n": map(len, read)})
+
+    once = items.select(F.col("eval_id").cast("bigint"), "passage", "answer").where("eval_id is not null and passage is not null")
+    return once.dropDuplicates(["eval_id"]).mapInPandas(run, "eval_id bigint, passage string, answer string, n int")
+
+
+def _triples_of(passage: str) -> np.ndarray:
+    return np.unique(np.concatenate(triple_codes(hashed(passage.split())))).view(np.int64)
 
-    pairs = items.select("passage").mapInPandas(run, "a string, b string").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return {(r.a, r.b) for r in pairs.where(F.col("n") > max(least, shared * total)).collect()}
+
+def _codes_of(passage: str) -> np.ndarray:
+    h = hashed(passage.split())
+    return np.unique(np.concatenate([*triple_codes(h), pair_codes(h)])).view(np.int64)
+
+
+def _coded(read: DataFrame, codes: Callable[[str], np.ndarray]) -> DataFrame:
+    """(code): the codes of every passage, each once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"code": np.concatenate([codes(p) for p in batch.passage])})
+
+    return read.select("passage").mapInPandas(run, "code bigint")
+
+
+def _codes(rows: list) -> dict[int, int]:
+    return {r.code % (1 << 64): r["items"] for r in rows}
 
 
 def leaks(
@@ -183,86 +294,120 @@ def leaks(
     items: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    window: int = 64,
-    step: int = 32,
-    threshold: float = 16.0,
+    window: int = 512,
+    step: int = 256,
     shortest: int = 20,
     own: int = 8,
     stretch: int = 6,
-    items_at_once: int = 20_000,
+    shared: float = 0.02,
+    part_bytes: int = 2_000_000,
 ) -> DataFrame:
     """(eval_id, key, n_words, score, answer_words) of documents that reproduce at least
     `shortest` words of an item's passage in order, of which at least `own` aren't wording that
-    over a fiftieth of the items share.
-
-    Isolated replaced words count as reproduced; a chain may be interrupted by up to 40 foreign
-    words, its stretches having at least `stretch` equal words. answer_words are the words of
-    the item's answer that the document has in a row, for the report. Null and empty texts or
-    passages leak nothing; repeated items and documents count once; rows without a key are left
-    out. Passages of `window` words overlap by `step`, so a reproduction of up to
-    window - step + 1 words lies whole in one, and longer ones give a query more triples. A
-    candidate scores `threshold`, or what the triples of one stretch weigh if that is less, as it
-    is where items are few or of unequal length."""
+    over a share `shared` of the items (and over five) have in common. If the document also has four
+    fifths of the answer in a row, half as many of them do.
+
+    Isolated replaced words count as reproduced, but half of `own` must be equal; a chain may be
+    interrupted by up to 40 foreign words, its stretches having at least `stretch` equal words. Passages of `window`
+    words overlap by `step`, so one holds every chain that has what `sure` names within window - step
+    words; a chain misses that only if a run of so many words of it has fewer own words.
+    Null and empty texts or passages leak nothing; repeated items and documents count once;
+    rows without a key are left out. The items are met in parts of about part_bytes."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    once = items.select("eval_id", "passage", "answer").where("eval_id is not null and passage is not null")
-    once = once.dropDuplicates(["eval_id"])
-    total = once.count()
-    blocks = max(1, -(-total // items_at_once))
-    common = common_pairs(once, total)
+    read, at_read = written(_read(items))
+    size = read.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("words"), F.sum(F.length("passage") + F.length("answer")).alias("bytes")).first()
+    total, mean = size.n, max(1.0, (size["words"] or 0) / max(1, size.n))
+    parts = max(1, -(-(size["bytes"] or 0) // part_bytes))
+    counted = _coded(read, _codes_of).groupBy("code").agg(F.count(F.lit(1)).alias("items")).where("items > 1")
+    frequencies, at_codes = written(counted)
+    # Passages of w words on average have at most 5 * w / shared such codes, however many items there are.
+    common = _codes(frequencies.where(F.col("items") > max(5, shared * total)).collect())
     out = None
-    for block in range(blocks):
-        part = once.where(F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == block)
+    for part in range(parts):
+        mine = read.where(F.pmod(F.xxhash64("eval_id"), F.lit(parts)) == part)
+        known = frequencies
+        if parts > 1:
+            known = frequencies.join(_coded(mine, _triples_of).distinct(), "code", "left_semi")
         index = spark.sparkContext.broadcast(
-            ItemIndex(sorted((r.eval_id, r.passage, r.answer or "") for r in part.collect()), common)
+            ItemIndex(
+                sorted((r.eval_id, r.passage.split(), r.answer.split()) for r in mine.collect()),
+                _codes(known.collect()),
+                total,
+                mean,
+                set(common),
+                sure(shortest, own, stretch),
+            )
         )
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             x: ItemIndex = index.value
             for batch in batches:
-                rows = []
+                rows, held, size = [], [], 0
                 for k, value in zip(batch[key], batch[text]):
-                    if value:
-                        rows += [(item, k, *rest) for item, *rest in _leaks_of(x, value)]
+                    if not value:
+                        continue
+                    readings = [value]
+                    if "-" in value and BROKEN_WORD.search(value):
+                        readings.append(BROKEN_WORD.sub("", value))
+                    for reading in readings:
+                        doc = [x.vocab.get(w, -1) for w in words(reading)]
+                        held.append((k, doc))
+                        size += len(doc)
+                    if size > 500_000:
+                        rows += leaked(x, held)
+                        held, size = [], 0
+                rows += leaked(x, held)
                 yield pd.DataFrame(rows, columns=["eval_id", key, "n_words", "score", "answer_words"])
 
-        def _leaks_of(x: ItemIndex, value: str) -> list[tuple[int, int, float, int]]:
-            joined = words(value)
-            reading = [joined]
-            if "-" in value and BROKEN_WORD.search(value):
-                reading.append(words(BROKEN_WORD.sub("", value)))
-            got: dict[int, tuple[int, float, int]] = {}
-            for doc in reading:
+        def leaked(x: ItemIndex, held: list[tuple[int, list[int]]]) -> list[tuple]:
+            if not held or not len(x.terms):
+                return []
+            ids = np.array([w for _, doc in held for w in (*doc, -1, -1, -1, -1)], np.int64)
+            terms, most = x.matched(x.hashes[ids], ids >= 0)
+            reach = np.concatenate([[0.0], np.cumsum(most)])
+            rows, begin = [], 0
+            for k, doc in held:
                 candidates: dict[int, float] = {}
-                enough = min(threshold, (stretch - 2) * x.lowest)
-                known = [t if t in x.lists else None for t in triples(doc)]
-                for at in range(0, len(known), step):
-                    query = set(known[at : at + window]) - {None}
-                    if query:
-                        for item, score in x.search(query, enough).items():
-                            candidates[item] = max(score, candidates.get(item, 0.0))
-                if not candidates:
+                for at in range(0, max(1, len(doc) - step), step):
+                    a, b = begin + at, begin + min(at + window, len(doc))
+                    if reach[b] - reach[a] < 0.999:
+                        continue
+                    query = np.unique(np.concatenate([t[a:b] for t in terms])).tolist()
+                    for item, score in x.search([t for t in query if t >= 0], 0.999999).items():
+                        candidates[item] = max(score, candidates.get(item, 0.0))
+                if candidates:
+                    rows += verified(x, k, doc, candidates)
+                begin += len(doc) + 4
+            return rows
+
+        def verified(x: ItemIndex, k: int, doc: list[int], candidates: dict[int, float]) -> Iterator[tuple]:
+            places: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+            for d in (1, 2):
+                for at, (a, b) in enumerate(zip(doc, doc[d:])):
+                    if a >= 0 and b >= 0:
+                        places[a, b, d].append(at)
+            for item, score in candidates.items():
+                n, n_own, n_equal = x.overlap(doc, places, item, stretch)
+                if n < shortest or n_equal < own / 2:
                     continue
-                places: dict[tuple[str, str], list[int]] = defaultdict(list)
-                for at, pair in enumerate(zip(doc, doc[1:])):
-                    places[pair].append(at)
-                for item, score in candidates.items():
-                    n, n_own = x.overlap(doc, places, item, stretch)
-                    if n >= shortest and n_own >= own and n > got.get(item, (0,))[0]:
-                        got[item] = (n, score, _longest(x.answers[item], doc))
-            return [(x.ids[item], n, score, answer) for item, (n, score, answer) in got.items()]
+                answer = _longest(x.answers[item], doc)
+                if n_own >= own or answer >= max(stretch, 0.8 * len(x.answers[item])):
+                    yield x.ids[item], k, n, score * x.least[item], answer
 
         wanted = spread(docs.select(key, text).where(f"{key} is not null and {text} is not null"))
         found = wanted.mapInPandas(run, f"eval_id bigint, {key} {kind}, n_words int, score double, answer_words int")
         out = found if out is None else out.unionByName(found)
+    for path in (at_read, at_codes):
+        discard(spark, path)
     return out.groupBy("eval_id", key).agg(
         F.max("n_words").alias("n_words"), F.max("score").alias("score"), F.max("answer_words").alias("answer_words")
     )
 
 
-def _longest(answer: list[str], doc: list[str]) -> int:
+def _longest(answer: list[int], doc: list[int]) -> int:
     """The longest run of the answer's words in the document."""
-    at: dict[str, list[int]] = defaultdict(list)
+    at: dict[int, list[int]] = defaultdict(list)
     for k, word in enumerate(answer):
         at[word].append(k)
     best, ends = 0, {}

@@ -50,9 +50,74 @@ def test_leaks(spark):
     assert run(spark, items + items[:2], docs + [docs[0], (None, docs[0][1]), (1, None), (2, "")]) == want
 
 
-def test_blocks_give_the_same(spark):
+def test_parts_give_the_same(spark):
     items, docs, want = make()
-    assert run(spark, items, docs, items_at_once=23) == want
+    for size in (10_000, 17_000):
+        assert run(spark, items, docs, part_bytes=size) == want
+
+
+def test_every_third_or_second_word_replaced(spark):
+    items, docs, want = make()
+    passage_words = leaks.words(items[8][1])
+    for every, n in ((3, 40), (2, 41)):
+        quote = [w if k % every != every - 1 else "other" for k, w in enumerate(passage_words[10 : 10 + n])]
+        docs.append((5000 + every, "Intro here. " + " ".join(quote) + " and so on"))
+    assert run(spark, items, docs) == want | {(8, 5003), (8, 5002)}
+
+
+def test_answer_counts_where_few_words_are_own(spark):
+    """24 words of wording that all share and six own ones: a leak only beside the answer."""
+    rng = random.Random(11)
+    shared = passage(rng, 24)
+    items = [(k, shared + " " + passage(rng, 40), passage(rng, 10)) for k in range(20)]
+    quote = " ".join((shared + " " + items[4][1][len(shared) :]).split()[:30])
+    docs = [(100, quote + " . " + passage(rng, 50)), (101, quote + " . " + passage(rng, 50) + " " + items[4][2]), (102, shared + " " + items[4][2])]
+    assert run(spark, items, docs) == {(4, 101)}
+
+
+def brute_force(items, docs):
+    """Verification of every document against every item, without the index's scores."""
+    from collections import Counter, defaultdict
+
+    read = [(i, leaks.words(p), leaks.words(a)) for i, p, a in items]
+    counts = Counter(c for _, p, _ in read for h in [leaks.hashed(p)] for c in {*leaks.pair_codes(h).tolist()})
+    common = {c for c, n in counts.items() if n > max(5, 0.02 * len(read))}
+    x = leaks.ItemIndex(read, {}, len(read), 80.0, common)
+    found = set()
+    for k, text in docs:
+        doc = [x.vocab.get(w, -1) for w in leaks.words(text)]
+        places = defaultdict(list)
+        for d in (1, 2):
+            for at, pair in enumerate(zip(doc, doc[d:])):
+                if min(pair) >= 0:
+                    places[(*pair, d)].append(at)
+        for item, i in enumerate(x.ids):
+            n, own, equal = x.overlap(doc, places, item, 6)
+            if n >= 20 and equal >= 4 and (own >= 8 or leaks._longest(x.answers[item], doc) >= 8):
+                found.add((i, k))
+    return found
+
+
+def test_index_loses_nothing(spark):
+    """Quotations cut up, with replaced words and foreign words between, in many-worded and few-worded items."""
+    rng = random.Random(12)
+    for vocabulary, n in ((WORDS, 30), (WORDS[:150], 7)):
+        items = [(k, " ".join(rng.choice(vocabulary) for _ in range(70)), "") for k in range(n)]
+        docs = []
+        for k in range(150):
+            quote = rng.choice(items)[1].split()
+            at, out = rng.randrange(40), []
+            for _ in range(rng.randrange(1, 4)):
+                part = quote[at : at + rng.randrange(6, 16)]
+                every = rng.choice((2, 3, 5, 99))
+                out += [w if j % every != every - 1 else rng.choice(vocabulary) for j, w in enumerate(part)]
+                out += [rng.choice(vocabulary) for _ in range(rng.choice((0, 12, 38)))]
+                at += len(part)
+            docs.append((1000 + k, " ".join([rng.choice(vocabulary) for _ in range(rng.randrange(500))] + out)))
+        want = brute_force(items, docs)
+        assert len(want) > 20
+        assert run(spark, items, docs) == want
+        assert run(spark, items, docs, part_bytes=2500) == want
 
 
 def test_empty(spark):
@@ -63,23 +128,23 @@ def test_empty(spark):
 
 
 def test_search_is_exhaustive():
+    import numpy as np
+
     rng = random.Random(8)
     small = WORDS[:40]
-    items = [(k, " ".join(rng.choice(small) for _ in range(60)), "") for k in range(300)]
-    index = leaks.ItemIndex(items, set(), block=4)
+    items = [(k, [rng.choice(small) for _ in range(60)], []) for k in range(300)]
+    index = leaks.ItemIndex(items, {}, 300, 60.0, set(), block=4)
     for _ in range(60):
-        query = set(leaks.triples([rng.choice(small) for _ in range(300)]))
-        for t in list(query):
-            if t not in index.lists:
-                query.discard(t)
+        h = leaks.hashed([rng.choice(small) for _ in range(300)])
+        terms = np.unique(np.concatenate(index.matched(h, np.ones(len(h), bool))[0])).tolist()
+        terms = [t for t in terms if t >= 0]
         scores = {}
-        for t in query:
-            ids, impacts, _, _ = index.lists[t]
+        for t in terms:
+            ids, impacts, _, _ = index.posting(t)
             for i, w in zip(ids, impacts):
                 scores[i] = scores.get(i, 0) + w
-        for threshold in (3.0, 6.0, 11.0):
-            got = index.search(query, threshold)
-            assert set(got) == {i for i, s in scores.items() if s >= threshold}
+        for threshold in (0.3, 0.6, 1.1):
+            assert set(index.search(terms, threshold)) == {i for i, s in scores.items() if s >= threshold}
 
 
 def test_few_items(spark):
