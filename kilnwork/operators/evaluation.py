@@ -57,15 +57,19 @@ def permutation_p(df: DataFrame, x: str, y: str, replicates: int = 2000, seed: i
     return rho.agg(((F.count_if(F.col("rho") >= (observed if observed is not None else 2.0) - 1e-12) + 1) / (replicates + 1)).alias("p"))
 
 
-def inversions(df: DataFrame, key: str, label: str, score: str, gap: int = 2) -> DataFrame:
+def inversions(df: DataFrame, key: str, label: str, score: str, gap: int = 2, most_labels: int = 10_000) -> DataFrame:
     """(better, worse): labels at least `gap` apart whose scores are the other way round. Labels
-    are few, so all pairs of labels are met first, then rows by equality."""
-    labels = df.select(label).distinct()
-    apart = F.col("hi") - F.col("lo")
-    pairs = labels.toDF("hi").crossJoin(labels.toDF("lo")).where((apart >= gap) & ~F.isnan(apart))
+    are few, so all pairs of labels are met first, then rows by equality; more than most_labels
+    are refused."""
+    labels = [r[0] for r in df.select(label).where(F.col(label).isNotNull() & ~F.isnan(label)).distinct().limit(most_labels + 1).collect()]
+    if len(labels) > most_labels:
+        raise ValueError("too many labels to meet each other")
+    kind = dict(df.dtypes)[label]
+    pairs = [(hi, lo) for hi in labels for lo in labels if hi - lo >= gap]
+    pairs = df.sparkSession.createDataFrame(pairs, f"hi {kind}, lo {kind}")
     a = df.select(F.col(key).alias("better"), F.col(label).alias("hi"), F.col(score).alias("sa"))
     b = df.select(F.col(key).alias("worse"), F.col(label).alias("lo"), F.col(score).alias("sb"))
-    return a.join(F.broadcast(pairs), "hi").join(b, "lo").where("sa < sb").select("better", "worse")
+    return a.join(pairs, "hi").join(b, "lo").where("sa < sb").select("better", "worse")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 4000, rate: float = 0.5) -> tuple[np.ndarray, float]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kilnwork.functions import near as near_keys
 from kilnwork.functions import web
 from kilnwork.functions.findings import risk_level
 
@@ -28,20 +29,17 @@ def imitated_brands(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     """(host, brand, rule): the first brand, by `place`, that a host's name imitates, and how:
     looks the same, looks the same in plain letters, is an edit or two away, or has it as a word.
 
-    Brands are a reference list. Equality rules are equi-joins; near names meet on letters left
-    when one is deleted at a time, so no host meets every brand."""
+    Brands are a reference list. Equality rules are equi-joins; near names meet on a part
+    that two edits leave whole, so no host meets every brand."""
     h = hosts.select("host", F.substring_index(web.registrable(F.col("host")), ".", 1).alias("label")).distinct()
     h = h.withColumns({"skeleton": web.skeleton(F.col("label"))})
     h = h.withColumn("plain", web.ascii_skeleton(F.col("label")))
     b = brands.select("brand", "place", F.lower("keyword").alias("keyword"))
 
-    def gone(c: str) -> Column:
-        one = F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c))))
-        return F.explode(F.array_distinct(F.concat(one, F.array(F.col(c)))))
-
     same = h.join(b, h["skeleton"] == b["keyword"]).select("host", "brand", "place", F.when(F.col("label") == F.col("keyword"), 0).otherwise(1).alias("rule"))
     plain = h.join(b, h["plain"] == b["keyword"]).select("host", "brand", "place", F.lit(2).alias("rule"))
-    near = h.select("host", "skeleton", gone("skeleton").alias("g")).join(b.where("length(keyword) >= 5").select("brand", "place", "keyword", gone("keyword").alias("g")), "g")
+    parts = b.where("length(keyword) >= 5").select("brand", "place", "keyword", F.explode(near_keys.part_keys(F.col("keyword"))).alias("g"))
+    near = h.select("host", "skeleton", F.explode(near_keys.probe_keys(F.col("skeleton"))).alias("g")).join(parts, "g")
     most = F.when(F.length("keyword") >= 8, 2).otherwise(1)
     near = near.where((F.levenshtein("skeleton", "keyword") <= most) & (F.col("skeleton") != F.col("keyword"))).select("host", "brand", "place", F.lit(3).alias("rule"))
     word = h.select("host", F.explode(web.words_of(F.col("label"))).alias("keyword")).join(b, "keyword").select("host", "brand", "place", F.lit(4).alias("rule"))
