@@ -28,17 +28,17 @@ from kilnwork.runtime import discard, spread, written
 
 WORD = re.compile(r"[^\W_]+")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
-SPACINGS = ((1, 2), (1, 3), (2, 3), (2, 4))
+SPACINGS = ((1, 2), (1, 3), (2, 3))
 PAIR = len(SPACINGS)
 
 
 def sure(shortest: int, own: int, stretch: int) -> tuple[int, int]:
-    """Triples, and triples with an own word, that a chain has at least: k stretches of e equal words
-    each cover up to 2e - 1 words and have e - 2 triples; at the end of a stretch each further own word is
-    in one more of them."""
+    """Triples, and triples with an own word, that a chain has at least whose replaced words have two
+    equal ones between them: k stretches of e equal words each cover up to e + (e - 1) / 2 words and have
+    e - 2 triples; at the end of a stretch each further own word is in one more of them."""
     if stretch < 3:
         raise ValueError("a stretch has a triple from three words on")
-    triples = min(max(k * stretch, -(-(shortest + k) // 2)) - 2 * k for k in range(1, shortest + 1))
+    triples = min(max(k * stretch, -(-(2 * shortest + k) // 3)) - 2 * k for k in range(1, shortest + 1))
     return triples, min(-(-own // 2), stretch - 2, triples)
 
 
@@ -87,8 +87,8 @@ class ItemIndex:
         total: int,
         mean: float,
         common: set[int],
-        sure: tuple[int, int] = (8, 4),
-        block: int = 16,
+        sure: tuple[int, int] = (10, 4),
+        block: int = 4,
         k1: float = 1.2,
         b: float = 0.75,
     ) -> None:
@@ -134,37 +134,74 @@ class ItemIndex:
         self.impacts = np.concatenate(impacts)[order] if codes else np.empty(0)
         self.terms, starts = np.unique(every[order], return_index=True)
         self.starts = np.append(starts, len(every))
-        self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.empty(0)
-        self.lists: dict[int, tuple[list[int], list[float], list[float], float]] = {}
-
-    def posting(self, term: int) -> tuple[list[int], list[float], list[float], float]:
-        got = self.lists.get(term)
+        # Block maxima: (term, block of items) and the most that an item of the block has.
+        self.blocks = len(items) // block + 1
+        of = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * self.blocks + self.owners // block
+        at, first = np.unique(of, return_index=True)
+        self.block_ids = at % self.blocks
+        self.block_most = np.maximum.reduceat(self.impacts, first) if len(at) else np.empty(0)
+        self.block_starts = np.searchsorted(at, np.arange(len(self.terms) + 1) * self.blocks)
+        self.lists: dict[tuple[int, ...], tuple[list[int], list[float], list[float], float]] = {}
+        self.seen: np.ndarray | None = None
+
+    def posting(self, slot: tuple[int, ...]) -> tuple[list[int], list[float], list[float], float]:
+        """The items of a word's triples, with the greatest impact that one of its spacings has."""
+        got = self.lists.get(slot)
         if got is None:
-            a, b = self.starts[term], self.starts[term + 1]
-            w = self.impacts[a:b].tolist()
-            got = self.owners[a:b].tolist(), w, [max(w[k : k + self.block]) for k in range(0, len(w), self.block)], max(w)
+            best: dict[int, float] = {}
+            for term in slot:
+                if term >= 0:
+                    a, b = self.starts[term], self.starts[term + 1]
+                    for item, w in zip(self.owners[a:b].tolist(), self.impacts[a:b].tolist()):
+                        best[item] = max(w, best.get(item, 0.0))
+            ids = sorted(best)
+            w = [best[i] for i in ids]
+            got = ids, w, [max(w[k : k + self.block]) for k in range(0, len(w), self.block)], max(w)
             if len(self.lists) < 50_000:
-                self.lists[term] = got
+                self.lists[slot] = got
         return got
 
-    def matched(self, h: np.ndarray, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Terms by spacing and first word, -1 for none, and the most that those at a word weigh."""
-        most, out = np.zeros(len(h)), []
-        for part, (a, b) in zip(triple_codes(h), SPACINGS):
+    def matched(self, h: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """A row for each word: the terms that begin there by spacing, -1 for none."""
+        low = np.uint64((1 << 22) - 1)
+        if self.seen is None:  # most codes of other text are ruled out by their low bits
+            self.seen = np.zeros(1 << 22, bool)
+            self.seen[self.terms & low] = True
+        out = np.full((len(h), len(SPACINGS)), -1, np.int64)
+        for spacing, (part, (a, b)) in enumerate(zip(triple_codes(h), SPACINGS)):
             n = len(part)
-            term = np.full(n, -1, np.int64)
-            whole = np.flatnonzero(known[:n] & known[a : n + a] & known[b : n + b])
-            if len(whole) and len(self.terms):
+            whole = np.flatnonzero(known[:n] & known[a : n + a] & known[b : n + b] & self.seen[part & low])
+            if len(whole):
                 at = np.minimum(np.searchsorted(self.terms, part[whole]), len(self.terms) - 1)
                 same = self.terms[at] == part[whole]
-                term[whole[same]] = at[same]
-                most[whole[same]] += self.most[at[same]]
-            out.append(term)
-        return out, most
+                out[whole[same], spacing] = at[same]
+        return out
 
-    def search(self, terms: list[int], threshold: float) -> dict[int, float]:
+    def promising(self, slots: np.ndarray, cells: np.ndarray, threshold: float) -> np.ndarray:
+        """Of cells, given for each word in ascending order, those that together with the next cell can
+        hold `threshold` of an item by its block's maxima."""
+        word, spacing = np.nonzero(slots >= 0)
+        term = slots[word, spacing]
+        n = self.block_starts[term + 1] - self.block_starts[term]
+        if not len(n) or not n.sum():
+            return np.empty(0, np.int64)
+        at = np.repeat(self.block_starts[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+        def grouped(keys: np.ndarray, values: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            return keys[first], how.reduceat(values[order], first)
+
+        keys, most = grouped(np.repeat(word, n) * self.blocks + self.block_ids[at], self.block_most[at], np.maximum)
+        keys, total = grouped(cells[keys // self.blocks] * self.blocks + keys % self.blocks, most, np.add)
+        beside = np.minimum(np.searchsorted(keys, keys + self.blocks), len(keys) - 1)
+        both = total + np.where(keys[beside] == keys + self.blocks, total[beside], 0.0)
+        return np.unique(keys[both >= threshold] // self.blocks)
+
+    def search(self, slots: set[tuple[int, ...]], threshold: float) -> dict[int, float]:
         """Items whose BM25 score for the query is at least the threshold, all of them."""
-        lists = [self.posting(t) for t in terms]
+        lists = [self.posting(t) for t in slots]
         if sum(x[3] for x in lists) < threshold:
             return {}
         found: dict[int, float] = {}
@@ -294,8 +331,7 @@ def leaks(
     items: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    window: int = 512,
-    step: int = 256,
+    step: int = 128,
     shortest: int = 20,
     own: int = 8,
     stretch: int = 6,
@@ -308,9 +344,9 @@ def leaks(
     fifths of the answer in a row, half as many of them do.
 
     Isolated replaced words count as reproduced, but half of `own` must be equal; a chain may be
-    interrupted by up to 40 foreign words, its stretches having at least `stretch` equal words. Passages of `window`
-    words overlap by `step`, so one holds every chain that has what `sure` names within window - step
-    words; a chain misses that only if a run of so many words of it has fewer own words.
+    interrupted by up to 40 foreign words, its stretches having at least `stretch` equal words. Passages of
+    two steps overlap by one, so one holds every chain that has what `sure` names within `step` words; a
+    chain misses that if its own words are thinner, or by words replaced closer to each other than that.
     Null and empty texts or passages leak nothing; repeated items and documents count once;
     rows without a key are left out. The items are met in parts of about part_bytes."""
     spark = docs.sparkSession
@@ -364,22 +400,20 @@ def leaks(
             if not held or not len(x.terms):
                 return []
             ids = np.array([w for _, doc in held for w in (*doc, -1, -1, -1, -1)], np.int64)
-            terms, most = x.matched(x.hashes[ids], ids >= 0)
-            reach = np.concatenate([[0.0], np.cumsum(most)])
-            rows, begin = [], 0
-            for k, doc in held:
-                candidates: dict[int, float] = {}
-                for at in range(0, max(1, len(doc) - step), step):
-                    a, b = begin + at, begin + min(at + window, len(doc))
-                    if reach[b] - reach[a] < 0.999:
-                        continue
-                    query = np.unique(np.concatenate([t[a:b] for t in terms])).tolist()
-                    for item, score in x.search([t for t in query if t >= 0], 0.999999).items():
-                        candidates[item] = max(score, candidates.get(item, 0.0))
-                if candidates:
-                    rows += verified(x, k, doc, candidates)
-                begin += len(doc) + 4
-            return rows
+            lengths = np.array([len(doc) + 4 for _, doc in held])
+            n_cells = -(-lengths // step) + 1  # an empty one parts the documents
+            begins, firsts = np.cumsum(lengths) - lengths, np.cumsum(n_cells) - n_cells
+            cells = np.repeat(firsts, lengths) + (np.arange(len(ids)) - np.repeat(begins, lengths)) // step
+            slots = x.matched(x.hashes[ids], ids >= 0)
+            candidates: dict[int, dict[int, float]] = {}
+            for cell in x.promising(slots, cells, 0.999).tolist():
+                of = int(np.searchsorted(firsts, cell, "right")) - 1
+                a = begins[of] + (cell - firsts[of]) * step
+                query = {t for t in map(tuple, slots[a : min(a + 2 * step, begins[of] + lengths[of])].tolist()) if max(t) >= 0}
+                for item, score in x.search(query, 0.999999).items():
+                    mine = candidates.setdefault(of, {})
+                    mine[item] = max(score, mine.get(item, 0.0))
+            return [row for of, met in candidates.items() for row in verified(x, *held[of], met)]
 
         def verified(x: ItemIndex, k: int, doc: list[int], candidates: dict[int, float]) -> Iterator[tuple]:
             places: dict[tuple[int, int, int], list[int]] = defaultdict(list)
