@@ -82,6 +82,36 @@ def test_canonical_spelling_is_the_frequent_clean_one(spark):
     assert got[8] is None and got[6] == ""
 
 
+def test_trie_joins_what_the_table_misses(spark):
+    """Nearly alike letters in words of mixed scripts; words of one script stay apart from them."""
+    rows = [(1, "the worker waits"), (2, "the wоrкer waits"), (3, "мак или mak"), (4, "мак или мак"), (5, "mak или mak"), (6, "the wоrxer waits")]
+    assert look.skeleton(rows[0][1]) != look.skeleton(rows[1][1])
+    for few in (200_000, 0):  # spellings broadcast, and joined by document
+        assert {tuple(r) for r in look.visual_pairs(frame(spark, rows), most_broadcast=few).collect()} == {(1, 2)}
+
+
+def test_words_keep_their_script(spark):
+    """The table alone spells a Cyrillic word in Latin letters; the trie knows the clean word."""
+    rows = [(1, "сор в доме"), (2, "сoр в доме"), (3, "a cop in town"), (4, "рот"), (5, "рoт")]
+    for few in (200_000, 0):
+        got = {r.doc_id: r.canonical for r in look.canonical_texts(frame(spark, rows[:2] + rows[3:]), most_broadcast=few).collect()}
+        assert got == {1: "сор в доме", 2: "сор в доме", 4: "рот", 5: "рот"}
+        got = {r.doc_id: r.canonical for r in look.canonical_texts(frame(spark, rows), most_broadcast=few).collect()}
+        assert got[1] == got[2] == "cop в доме" and got[3] == "a cop in town"
+
+
+def test_slices_give_the_same(spark):
+    vocab = look.vocabulary(frame(spark), "text")
+    every = {tuple(r) for r in look.spellings(vocab).collect()}
+    assert every == {tuple(r) for r in look.spellings(vocab, slice_rows=1).collect()} != set()
+
+
+def test_copies_of_two_ways(spark):
+    rows = [(k, "one wоrd" if k % 3 == 0 else "one word") for k in range(12)]
+    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if (a % 3 == 0) != (b % 3 == 0)}
+    assert {tuple(r) for r in look.visual_pairs(frame(spark, rows)).collect()} == want
+
+
 def test_empty_table(spark):
     assert look.visual_pairs(frame(spark, [])).count() == 0
 
