@@ -3,7 +3,8 @@
 Parents and children meet in one long table of tagged keys. One aggregation by
 (target table, key) with map-side partials decides the fate of every key, however many
 children name it: a key that a third of all rows refer to is one small state per map task.
-Only the keys that fail for some child go back to the children."""
+Only the keys that fail for some child go back to the children, those that fail very often by
+broadcast: fewer than a fixed number can have more than that part of all uses."""
 
 from __future__ import annotations
 
@@ -13,6 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.runtime import written
+
+HOT = 1000
+
 
 @dataclass(frozen=True)
 class Parent:
@@ -103,15 +108,16 @@ def broken_references(parents: list[Parent], children: list[Child]) -> DataFrame
         F.min("at").alias("first_use"),
         F.count_if(~F.col("is_parent")).alias("uses"),
     )
-    suspect = keys.where("uses > 0 and (not exists or gone or arrived > first_use)").select(
-        "target", "target_id", "exists", "gone", "arrived"
-    )
+    suspect, _ = written(keys.where("uses > 0 and (not exists or gone or arrived > first_use)").drop("first_use"))
+    uses = suspect.agg(F.sum("uses")).first()[0] or 0
+    often = F.col("uses") * HOT > uses  # under HOT keys, as each has more than that part of all uses
+    by = ["target", "target_id"]
+    met = refs.join(F.broadcast(suspect.where(often)), by).unionByName(refs.join(suspect.where(~often), by))
     reason = (
         F.when(~F.col("exists"), "missing").when(F.col("gone"), "deleted").when(F.col("arrived") > F.col("at"), "late")
     )
     return (
-        refs.join(suspect, ["target", "target_id"])
-        .withColumn("reason", reason)
+        met.withColumn("reason", reason)
         .where("reason is not null")
         .groupBy("ref_table", "ref_field", "ref_id", "target_id")
         .agg(F.min("at").alias("at"), F.min_by("reason", "at").alias("reason"), F.min("reason").alias("any_reason"))

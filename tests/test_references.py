@@ -57,3 +57,10 @@ def test_empty_children(spark):
 def test_hot_key(spark):
     children = [(k, 77, None, T2, "") for k in range(3000)] + [(k, 1, None, T2, "") for k in range(3000, 3010)]
     assert broken_references(*tables(spark, [(1, T1, None, "")], children)).count() == 3000
+
+
+def test_hot_key(spark):
+    """One missing key has most of the references, many others have one each."""
+    children = [(k, -1 if k % 3 else k + 5000, None, T1, "") for k in range(2400)]
+    got = rows(broken_references(*tables(spark, [(5003, T1, None, "x")], children)))
+    assert got == {("ref", k, ref, "missing") for k, ref, *_ in children if ref != 5003}
