@@ -69,9 +69,9 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    best = topn.top_n(table(spark, d, "findings"), 10, "scan_id", topn.severity_rank("severity"), "id")
-    wanted = table(spark, d, "fix_suggestions").select("scan_id").distinct()
-    return best.join(wanted, "scan_id", "left_semi").selectExpr("scan_id", "id as finding_id")
+    wanted = table(spark, d, "fix_suggestions")
+    best = topn.top_n(table(spark, d, "findings"), 10, "scan_id", topn.severity_rank("severity"), "id", only=wanted)
+    return best.selectExpr("scan_id", "id as finding_id")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

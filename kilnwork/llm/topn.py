@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnwork.runtime import small_enough
+
 # Severities from the least to the most.
 SEVERITIES = ("info", "warning", "error", "critical")
 END = None
@@ -106,15 +108,32 @@ def merge(runs: list[list[int]], n: int) -> Iterator[tuple[int, int]]:
         tree.next()
 
 
-def top_n(items: DataFrame, n: int, group: str, score: Column, key: str, buckets: int | None = None) -> DataFrame:
+def top_n(
+    items: DataFrame,
+    n: int,
+    group: str,
+    score: Column,
+    key: str,
+    buckets: int | None = None,
+    only: DataFrame | None = None,
+    bucket_rows: int = 500_000,
+    most_broadcast: int = 1_000_000,
+) -> DataFrame:
     """(group, key, place): the n items of every group with the highest integer score, the
     smaller key first among equals; place counts from 1.
 
     Rows without a group or key are in no group; a null score ranks below all. A key delivered
     more than once counts once, with its highest score. Groups of fewer items come out whole;
-    no input gives no rows; further columns are not read."""
+    no input gives no rows; further columns are not read. only: a table of the groups that are wanted,
+    which are picked before the ranking if they are at most most_broadcast, else after it. A task
+    merges a bucket of runs, which on average has at most bucket_rows rows."""
     spark = items.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if only is not None:
+        only = only.select(F.col(group).cast("string").alias(group)).where(F.col(group).isNotNull()).distinct()
+        if small_enough(only, most_broadcast):
+            items, only = items.join(F.broadcast(only), group, "left_semi"), None
+    size = items.select(group).count()
+    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_rows))
     low = -(1 << 31) + 1
     rows = items.select(
         F.col(group).cast("string").alias("g"), F.col(key).cast("bigint").alias("k"), score.cast("int").alias("s")
@@ -164,4 +183,5 @@ def top_n(items: DataFrame, n: int, group: str, score: Column, key: str, buckets
             yield join_runs(pd.concat(held))
 
     merged = stored.mapInPandas(per_bucket, "g string, k bigint, place int")
-    return merged.select(F.col("g").alias(group), F.col("k").alias(key), "place")
+    best = merged.select(F.col("g").alias(group), F.col("k").alias(key), "place")
+    return best if only is None else best.join(only, group, "left_semi")

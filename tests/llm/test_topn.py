@@ -53,3 +53,11 @@ def test_null_score_is_last(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", -5, 2)], "g string, s int, id bigint")
     got = topn.top_n(df, 1, "g", F.col("s"), "id").collect()
     assert [r.id for r in got] == [2]
+
+
+def test_wanted_groups_before_or_after(spark):
+    df = spark.createDataFrame([(g, "info", k, "x", 0) for g in ("a", "b", None) for k in range(9)], SCHEMA)
+    wanted = spark.createDataFrame([("b",), ("b",), ("z",), (None,)], "g string")
+    for most in (1_000_000, 0):
+        got = topn.top_n(df, 2, "g", topn.severity_rank("s"), "id", only=wanted, most_broadcast=most, bucket_rows=3)
+        assert {tuple(r) for r in got.collect()} == {("b", 0, 1), ("b", 1, 2)}
