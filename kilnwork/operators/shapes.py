@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,8 @@ TEXT, NUMBER, FLAG, NOTHING, RECORD = "text", "number", "flag", "nothing", "reco
 LEAF = frozenset({TEXT, NUMBER, FLAG, NOTHING})
 #: Ordered: the first shape that fits gives an object's state.
 SHAPES = (
+    Shape("result", (("check_id", LEAF), ("path", LEAF))),
+    Shape("result", (("filename", LEAF), ("location", frozenset({RECORD, "place", "nothing"})))),
     Shape("edit", (("location", frozenset({RECORD, "place"})),)),
     Shape("edit", (("content", LEAF),)),
     Shape("labelled", (("id", LEAF), ("label", LEAF))),
@@ -75,6 +79,25 @@ def _state(value: object, done: dict[int, str]) -> str:
     return NUMBER if isinstance(value, (int, float)) else TEXT
 
 
+def typed_state(value: Column, kind: DataType, shapes: tuple[Shape, ...] = SHAPES) -> Column:
+    """The automaton over a column that Spark knows the type of, as one JVM expression. A field of the
+    type is there in every object; where it is null its state is 'nothing'."""
+    if isinstance(kind, StructType):
+        fields = {f.name: f.dataType for f in kind.fields}
+        state = F.lit(RECORD)
+        for shape in reversed(shapes):
+            if all(name in fields for name, _ in shape.needs):
+                fits = [typed_state(value[name], fields[name], shapes).isin(sorted(wanted)) for name, wanted in shape.needs]
+                state = F.when(reduce(Column.__and__, fits), shape.state).otherwise(state)
+    elif isinstance(kind, ArrayType):
+        state = F.lit("list")
+    elif isinstance(kind, BooleanType):
+        state = F.lit(FLAG)
+    else:
+        state = F.lit(NUMBER if isinstance(kind, NumericType) else TEXT)
+    return F.when(value.isNull(), NOTHING).otherwise(state)
+
+
 @dataclass(frozen=True)
 class ItemField:
     """Where the child items of one kind stand in a result: a path of object fields."""
@@ -217,9 +240,10 @@ def payload_runs(raw: DataFrame) -> DataFrame:
     )
 
 
-def struct_items(df: DataFrame, source: str, key: str, field: str, array: Column, variant: Column) -> DataFrame:
-    """Items of a typed array column, JVM only; the same columns as payload_items. variant is
-    an expression over `item`."""
+def struct_items(df: DataFrame, source: str, key: str, field: str, array: Column) -> DataFrame:
+    """Items of a typed array column, JVM only; the same columns as payload_items, with variants
+    by typed_state."""
+    kind = df.select(array.alias("a")).schema["a"].dataType.elementType
     return (
         df.where(F.col(key).isNotNull() & (F.size(array) > 0))
         .select(F.col(key).cast("bigint").alias("record_id"), array.alias("_items"))
@@ -231,7 +255,7 @@ def struct_items(df: DataFrame, source: str, key: str, field: str, array: Column
             F.lit(0).alias("result_pos"),
             F.lit(field).alias("field_name"),
             "item_pos",
-            F.when(F.col("item").isNull(), NOTHING).otherwise(variant).alias("variant"),
+            typed_state(F.col("item"), kind).alias("variant"),
             F.to_json(F.struct(F.col("item").alias("v"))).alias("item"),
         )
     )
@@ -245,9 +269,9 @@ def tool_items(semgrep: DataFrame, ruff: DataFrame, raw: DataFrame) -> DataFrame
     payloads of unknown tools, have no items. Other columns may have any names."""
     meta = F.col("extra.metadata")
     parts = [
-        struct_items(semgrep, "semgrep_output", "result_id", "cwe", meta["cwe"], F.lit(TEXT)),
-        struct_items(semgrep, "semgrep_output", "result_id", "references", meta["references"], F.lit(TEXT)),
-        struct_items(ruff, "ruff_output", "result_id", "edits", F.col("fix.edits"), F.lit("edit")),
+        struct_items(semgrep, "semgrep_output", "result_id", "cwe", meta["cwe"]),
+        struct_items(semgrep, "semgrep_output", "result_id", "references", meta["references"]),
+        struct_items(ruff, "ruff_output", "result_id", "edits", F.col("fix.edits")),
         payload_items(raw),
     ]
     out = parts[0]

@@ -59,9 +59,7 @@ def p3_edit_items(spark: SparkSession, d: str) -> DataFrame:
 def p3_semgrep_cwe(spark: SparkSession, d: str) -> DataFrame:
     """The items that are typed in Parquet, for the check against SQL."""
     semgrep = table(spark, d, "semgrep_output")
-    items = shapes.struct_items(
-        semgrep, "semgrep_output", "result_id", "cwe", F.col("extra.metadata.cwe"), F.lit(shapes.TEXT)
-    )
+    items = shapes.struct_items(semgrep, "semgrep_output", "result_id", "cwe", F.col("extra.metadata.cwe"))
     return items.where("variant <> 'nothing'").select(
         "record_id", "item_pos", F.get_json_object("item", "$.v").alias("value")
     )
@@ -125,6 +123,22 @@ ORACLE = {
     + """SELECT 'raw_records' AS source_table, record_id, CAST(pos AS INT) AS result_pos, name AS field_name, CAST(k AS INT) AS item_pos FROM i
       UNION ALL SELECT 'semgrep_output', result_id, 0, name, CAST(k AS INT) FROM a WHERE v IS NOT NULL
       UNION ALL SELECT 'ruff_output', result_id, 0, 'edits', CAST(k AS INT) FROM b WHERE v IS NOT NULL""",
+    "p3_results": _RUNS
+    + """SELECT record_id, CAST(pos AS INT) AS result_pos, tool, CASE WHEN json_type(r) = 'VARCHAR' THEN r ->> '$' END AS rule, CASE WHEN json_type(p) = 'VARCHAR' THEN p ->> '$' END AS path,
+      CASE WHEN json_type(l) IN ('BIGINT', 'UBIGINT') THEN CAST(l AS INT) END AS line, CASE WHEN json_type(res) <> 'OBJECT' THEN 'other'
+        WHEN json_exists(res, '$.check_id') AND json_exists(res, '$.path') OR json_exists(res, '$.filename') AND json_type(res, '$.location') IN ('OBJECT', 'NULL') THEN 'result' ELSE 'record' END AS variant
+      FROM (SELECT *, CASE tool WHEN 'semgrep' THEN json_extract(res, '$.check_id') WHEN 'ruff' THEN coalesce(CASE WHEN (res ->> '$.code') <> '' THEN json_extract(res, '$.code') END, json_extract(res, '$.name')) END AS r,
+        json_extract(res, CASE tool WHEN 'semgrep' THEN '$.path' ELSE '$.filename' END) AS p, json_extract(res, CASE tool WHEN 'semgrep' THEN '$.start.line' ELSE '$.location.row' END) AS l FROM z)""",
+    "p3_text_items": _RUNS
+    + """SELECT 'raw_records' AS source_table, record_id, CAST(pos AS INT) AS result_pos, name AS field_name, CAST(k AS INT) AS item_pos, x ->> '$' AS value
+      FROM (SELECT record_id, pos, name, k, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || k || ']') ELSE v END AS x FROM i JOIN f USING (record_id, pos, name)) WHERE json_type(x) = 'VARCHAR'
+      UNION ALL SELECT 'semgrep_output', result_id, 0, name, CAST(k AS INT), v FROM a WHERE v IS NOT NULL""",
+    "p3_edit_items": _RUNS
+    + """SELECT 'raw_records' AS source_table, record_id, CAST(pos AS INT) AS result_pos, name AS field_name, CAST(k AS INT) AS item_pos, x ->> '$.content' AS content,
+      TRY_CAST(x ->> '$.location.row' AS INT) AS start_row, TRY_CAST(x ->> '$.location.column' AS INT) AS start_column, TRY_CAST(x ->> '$.end_location.row' AS INT) AS end_row, TRY_CAST(x ->> '$.end_location.column' AS INT) AS end_column
+      FROM (SELECT record_id, pos, name, k, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[' || k || ']') ELSE v END AS x FROM i JOIN f USING (record_id, pos, name))
+      WHERE json_type(x) = 'OBJECT' AND (json_type(x, '$.location') = 'OBJECT' OR json_exists(x, '$.content') AND json_type(x, '$.content') NOT IN ('OBJECT', 'ARRAY'))
+      UNION ALL SELECT 'ruff_output', result_id, 0, 'edits', CAST(k AS INT), v.content, v.location.row, v.location.column, v.end_location.row, v.end_location.column FROM b WHERE v IS NOT NULL""",
     "p2_found": _P2 + "SELECT ref_table, ref_field, ref_id, target_id FROM x WHERE reason IS NOT NULL",
     "p2_by_month": _P2
     + """SELECT ref_table, ref_field, reason, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS month,

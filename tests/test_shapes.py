@@ -73,3 +73,15 @@ def test_variant_tables_and_runs(spark):
     runs = {(r.record_id, r.complete, r.n_results) for r in shapes.payload_runs(raw).collect()}
     assert runs == {(1, True, 1), (2, True, 1), (3, False, 0)}
     assert shapes.payload_results(raw).count() == 2
+
+
+def test_typed_and_text_states_agree(spark):
+    """The automaton over structs gives what it gives for the same values as JSON with explicit nulls."""
+    from pyspark.sql import functions as F
+
+    kind = "struct<content: string, location: struct<row: int, column: int>, id: int, label: string>"
+    values = [("c", (1, 2), 1, "l"), ("c", None, None, None), (None, None, None, None), (None, (1, None), 5, None), None]
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    typed = df.select(shapes.typed_state(F.col("v"), df.schema["v"].dataType).alias("s")).collect()
+    text = df.select(F.to_json("v", {"ignoreNullFields": "false"}).alias("j")).collect()
+    assert [r.s for r in typed] == [shapes.state_of(json.loads(r.j) if r.j else None) for r in text]
