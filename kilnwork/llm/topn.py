@@ -117,7 +117,7 @@ def top_n(
     buckets: int | None = None,
     only: DataFrame | None = None,
     bucket_rows: int = 500_000,
-    most_broadcast: int = 1_000_000,
+    most_broadcast: int = 200_000,
 ) -> DataFrame:
     """(group, key, place): the n items of every group with the highest integer score, the
     smaller key first among equals; place counts from 1.
