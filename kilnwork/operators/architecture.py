@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kilnwork.functions import paths as fp
 from kilnwork.operators.graph import _strong, degrees
 
 # Layers from the top of each stack, and the words that name them.
@@ -21,8 +22,12 @@ LAYERS = {
     ("backend", "presentation"): "route routes router routers controller controllers handler handlers endpoint endpoints view views resource resources",
     ("backend", "service"): "service services usecase usecases interactor interactors manager managers",
     ("backend", "data"): "model models entity entities repository repositories repo repos dao daos db database orm",
+    ("frontend", "ui"): "component components page pages screen screens layout layouts container containers widget widgets",
+    ("frontend", "hooks"): "hook hooks composable composables",
+    ("frontend", "api"): "api apis client clients query queries request requests",
+    ("frontend", "store"): "store stores state redux slice slices reducer reducers atom atoms",
 }
-ORDER = {"presentation": 0, "service": 1, "data": 2}
+ORDER = {"presentation": 0, "service": 1, "data": 2, "ui": 0, "hooks": 1, "api": 2, "store": 3}
 LONGEST, MOST, CEILING, SAMPLE_FROM, SAMPLE = 10, 100, 10_000, 1000, 500
 GOD_NODES, GOD_LOC, GOD_FAN_IN, GOD_CENTRALITY = 10, 300, 5, 0.05
 
@@ -40,29 +45,79 @@ def edges_of(references: DataFrame) -> DataFrame:
     )
 
 
-def layer_of(path: Column) -> Column:
-    """The layer named by the deepest folder or file word that names one; null for none."""
-    pairs = [x for (_, layer), words in LAYERS.items() for w in words.split() for x in (F.lit(w), F.lit(layer))]
-    table = F.create_map(*pairs)
-    last = lambda s: F.element_at(F.split(F.regexp_replace(F.lower(s), r"\.[a-z]+$", ""), "[._ -]"), -1)
-    named = F.filter(F.transform(F.reverse(F.split(path, "/")), lambda s: F.try_element_at(table, last(s))), lambda x: x.isNotNull())
-    return F.get(named, F.lit(0))
+def runtime(edges: DataFrame) -> DataFrame:
+    """What is loaded when the program runs: edges that aren't for types only."""
+    return edges.where("not type_only")
+
+
+def composition(nodes: DataFrame) -> DataFrame:
+    """(scan_id, language, layer, modules, loc)."""
+    by = ["scan_id", "language", F.coalesce("layer", F.lit("unlayered")).alias("layer")]
+    return nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("modules"), F.sum("loc").alias("loc"))
+
+
+def _words_of(stack: str) -> Column:
+    pairs = [x for (of, layer), words in LAYERS.items() if of == stack for w in words.split() for x in (F.lit(w), F.lit(layer))]
+    return F.create_map(*pairs)
+
+
+def is_frontend(path: Column) -> Column:
+    """Whether a path suggests that its project draws an interface."""
+    last = F.transform(fp.folders_of(path), lambda s: F.try_element_at(fp.words_of(s), F.lit(-1)))
+    named = F.exists(last, lambda w: F.coalesce(F.try_element_at(_words_of("frontend"), w).isin("ui", "hooks"), F.lit(False)))
+    return path.rlike(r"\.[jt]sx$") | named
+
+
+def layer_at(path: Column, language: Column | None = None, frontend: Column | None = None) -> Column:
+    """(layer, k): the layer named by the last word of the deepest folder or file that names one, k parts from the
+    end; null for tests and where none does. frontend: whether the module's project is one, which decides what words mean."""
+    language = fp.language_of(path) if language is None else language
+    frontend = F.lit(False) if frontend is None else frontend
+    back, front = _words_of("backend"), _words_of("frontend")
+    python, stem = language == "python", F.substring_index(fp.name_of(path), ".", 1)
+
+    def layer(segment: Column, k: Column) -> Column:
+        word = F.try_element_at(fp.words_of(segment), F.lit(-1))
+        api = word.isin("api", "apis")
+        return (
+            F.when(~python & (k == 0) & stem.rlike("^use[A-Z0-9]"), "hooks")
+            .when(~python & frontend & word.isin("service", "services"), "api")
+            .when(~python & frontend & F.try_element_at(front, word).isNotNull(), F.try_element_at(front, word))
+            .when(api & (python | ~frontend), "presentation")
+            .otherwise(F.try_element_at(back, word))
+        )
+
+    named = F.transform(F.reverse(F.split(path, "/")), lambda s, k: F.struct(layer(s, k).alias("layer"), k.alias("k")))
+    return F.when(~fp.is_test(path), F.get(F.filter(named, lambda x: x["layer"].isNotNull()), F.lit(0)))
+
+
+def layer_of(path: Column, language: Column | None = None, frontend: Column | None = None) -> Column:
+    """The layer of layer_at."""
+    return layer_at(path, language, frontend)["layer"]
 
 
 def layer_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(scan_id, src, dst, kind): lower layers that import higher ones, and imports that skip a
-    layer the scan has. Tests are left out."""
-    layered = nodes.where("not is_test").select("scan_id", "path", layer_of(F.col("path")).alias("layer")).where("layer is not null")
+    """(scan_id, src, dst, kind): lower layers that import higher ones of their stack, and imports that
+    skip a layer the scan has. Tests are left out, and imports of what a folder above the module names."""
+    at = layer_at(F.col("path"))
+    parts = F.split("path", "/")
+    root = F.when(F.col("at.k") > 0, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - F.col("at.k")), "/"))
+    layered = nodes.where("not is_test").withColumn("at", at).where("at is not null")
+    layered = layered.select("scan_id", "path", F.col("at.layer").alias("layer"), root.alias("root"))
     present = layered.groupBy("scan_id").agg(F.collect_set("layer").alias("present"))
     rank = F.create_map(*[F.lit(x) for kv in ORDER.items() for x in kv])
+    stack = F.create_map(*[F.lit(x) for of, layer in LAYERS for x in (layer, of)])
     both = (
         edges.where("not type_only")
         .join(layered.select("scan_id", F.col("path").alias("src"), F.col("layer").alias("a")), ["scan_id", "src"])
-        .join(layered.select("scan_id", F.col("path").alias("dst"), F.col("layer").alias("b")), ["scan_id", "dst"])
+        .join(layered.select("scan_id", F.col("path").alias("dst"), F.col("layer").alias("b"), "root"), ["scan_id", "dst"])
         .join(present, "scan_id")
+        .where("root is null or not startswith(src, root || '/')")
     )
-    down = rank[F.col("b")] - rank[F.col("a")]
-    kind = F.when(down < 0, "inversion").when((down >= 2) & F.array_contains("present", "service"), "skip")
+    a, b = F.col("a"), F.col("b")
+    down = F.when(stack[a] == stack[b], rank[b] - rank[a])
+    passed = F.exists("present", lambda x: (stack[x] == stack[a]) & (rank[x] > rank[a]) & (rank[x] < rank[b]))
+    kind = F.when(down < 0, "inversion").when((down >= 2) & passed, "skip")
     return both.select("scan_id", "src", "dst", kind.alias("kind")).where("kind is not null")
 
 
