@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kilnwork.operators import stats
+from kilnwork.runtime import small_enough
 
 
 def _mean_ranks(df: DataFrame, by: list[str], value: str) -> Column:
@@ -25,10 +26,15 @@ def replicate_correlations(df: DataFrame, x: str, y: str, draws: DataFrame) -> D
     return out.where(F.col("rho").isNotNull() & ~F.isnan("rho"))
 
 
-def _numbered(df: DataFrame, x: str, y: str) -> DataFrame:
-    """A snapshot of labelled rows is small; its rows get numbers from 0 in one task."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    return both.withColumn("i", F.row_number().over(Window.orderBy(x, y)) - 1)
+MOST_LABELLED = 100_000
+
+
+def _numbered(df: DataFrame, x: str, y: str, *more: str) -> DataFrame:
+    """Labelled rows with numbers from 0, given in one task; more than MOST_LABELLED are refused."""
+    both = df.select(x, y, *more).na.drop()
+    if not small_enough(both, MOST_LABELLED):
+        raise ValueError("too many labelled rows to resample")
+    return both.withColumn("i", F.row_number().over(Window.orderBy(x, y, *more)) - 1)
 
 
 def bootstrap_interval(df: DataFrame, x: str, y: str, replicates: int = 5000, seed: int = 7) -> DataFrame:
@@ -95,22 +101,131 @@ def logistic_weights(df: DataFrame, by: str, features: list[str], label: str, mo
 
 
 def collinearity(long: DataFrame, row: str, name: str, value: str, least: int = 5) -> DataFrame:
-    """(a, b, n, rho) of every pair of series with at least `least` common rows; names are few."""
-    p = long.select(F.col(row).alias("_r"), F.col(name).alias("a"), F.col(value).alias("x"))
-    q = long.select(F.col(row).alias("_r"), F.col(name).alias("b"), F.col(value).alias("y"))
-    both = p.join(q, "_r").where("a < b and x is not null and y is not null")
-    ranked = both.select("a", "b", _mean_ranks(both, ["a", "b"], "x").alias("rx"), _mean_ranks(both, ["a", "b"], "y").alias("ry"))
-    return ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least)
+    """(a, b, n, rho) of every pair of series with at least `least` common rows, ranked among those; names
+    are few.
+
+    A row's values are one array, so a pair meets without a join. Ranks come from counts by distinct value,
+    and a value that many rows have is one count per task."""
+    held = long.where(F.col(value).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(row).alias("_r")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(value).cast("double").alias("v")))).alias("s")
+    )
+    each = held.select(F.explode("s").alias("p"), "s").select("p", F.explode("s").alias("q")).where("p.n < q.n")
+    both = each.select(F.col("p.n").alias("a"), F.col("q.n").alias("b"), F.col("p.v").alias("x"), F.col("q.v").alias("y"))
+    cells = both.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    for side in ("x", "y"):
+        n = cells.groupBy("a", "b", side).agg(F.sum("c").alias("m"))
+        below = F.sum("m").over(Window.partitionBy("a", "b").orderBy(side)) - F.col("m")
+        cells = cells.join(n.select("a", "b", side, (below + (F.col("m") + 1) / 2).alias(f"r{side}")), ["a", "b", side])
+    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
+    m = cells.groupBy("a", "b").agg(F.sum("c").alias("n"), F.sum(c * x).alias("x"), F.sum(c * y).alias("y"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    rho = F.try_divide(F.expr("xy - x * y / n"), F.sqrt(F.expr("(xx - x * x / n) * (yy - y * y / n)")))
+    return m.where(F.col("n") >= least).select("a", "b", "n", rho.alias("rho"))
 
 
 def signal_table(evidence: DataFrame, labels: DataFrame) -> DataFrame:
     """(signal, fired, fired_bad, precision, share_bad, share_good) over records (record_id, bad)."""
-    n = labels.agg(F.count_if("bad").alias("bad_n"), F.count_if(~F.col("bad")).alias("good_n"))
+    n = labels.agg(F.count_if("bad").alias("bad_n"), F.count_if(~F.col("bad")).alias("good_n")).first()
     fired = evidence.where("points > 0").select("record_id", "signal").distinct().join(labels, "record_id")
     out = fired.groupBy("signal").agg(F.count(F.lit(1)).alias("fired"), F.count_if("bad").alias("fired_bad"))
-    return out.join(F.broadcast(n)).select(
+    return out.select(
         "signal", "fired", "fired_bad",
         (F.col("fired_bad") / F.col("fired")).alias("precision"),
-        F.try_divide("fired_bad", "bad_n").alias("share_bad"),
-        F.try_divide(F.col("fired") - F.col("fired_bad"), "good_n").alias("share_good"),
+        F.try_divide("fired_bad", F.lit(n.bad_n)).alias("share_bad"),
+        F.try_divide(F.col("fired") - F.col("fired_bad"), F.lit(n.good_n)).alias("share_good"),
     )
+
+
+def score_without(evidence: DataFrame, left_out: str, most: int = 100) -> DataFrame:
+    """(record_id, score): points without one category, within 0 and `most`."""
+    kept = F.sum(F.when(F.col("category") == left_out, 0).otherwise(F.col("points")))
+    return evidence.groupBy("record_id").agg(F.least(F.lit(most), F.greatest(F.lit(0), F.round(kept))).cast("int").alias("score"))
+
+
+def best_threshold(confusion: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The row of the greatest f1, of equals the one with the lowest threshold."""
+    first = F.max_by(F.struct(*confusion.columns), F.struct("f1", -F.col("threshold"))).alias("b")
+    return (confusion.groupBy(*by) if by else confusion).agg(first).select("b.*")
+
+
+def run_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, n) of runs (key, ok, signals): '+signal' and '-signal' over keys that both runs have."""
+    both = after.where("ok").select("key", F.col("signals").alias("new")).join(before.where("ok").select("key", F.col("signals").alias("old")), "key")
+    gained = F.transform(F.array_except("new", "old"), lambda s: F.concat(F.lit("+"), s))
+    lost = F.transform(F.array_except("old", "new"), lambda s: F.concat(F.lit("-"), s))
+    return both.select(F.explode(F.concat(gained, lost)).alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def subsets(names: list[str], alternatives: dict[str, tuple[str, list[str]]] | None = None) -> list[dict[str, object]]:
+    """Every subset of the names as a configuration. alternatives: a setting that doubles the subsets that
+    hold one of the names it depends on, by (value, names)."""
+    out: list[dict[str, object]] = []
+    for mask in range(1 << len(names)):
+        chosen = [n for k, n in enumerate(names) if mask >> k & 1]
+        each: list[dict[str, object]] = [{"names": chosen}]
+        for setting, (value, needs) in (alternatives or {}).items():
+            if set(needs) & set(chosen):
+                each += [c | {setting: value} for c in each]
+        out += each
+    return sorted(out, key=lambda c: (len(c["names"]), c["names"], len(c)))
+
+
+def fitted_weights(df: DataFrame, features: list[str], label: str, most: int = 100_000) -> DataFrame:
+    """(feature, weight) that explain the label with a free level, as shares of their sum; equal ones if all are
+    0. A missing feature counts as the mean of the row's others. The sums of products are one aggregation, so
+    rows don't reach the driver."""
+    have = F.array_compact(F.array(*features))
+    mean = F.aggregate(have, F.lit(0.0), lambda a, v: a + v) / F.size(have)
+    rows = df.where(F.col(label).isNotNull() & (F.size(have) > 0)).select(*[F.coalesce(f, mean).alias(f"f{k}") for k, f in enumerate(features)], F.lit(1.0).alias(f"f{len(features)}"), F.col(label).cast("double").alias("y"))
+    n = len(features) + 1
+    low = rows.agg(F.min("y")).first()[0]
+    products = [F.sum(F.col(f"f{i}") * F.col(f"f{j}")) for i in range(n) for j in range(n)]
+    sums = rows.agg(*products, *[F.sum(F.col(f"f{i}") * (F.col("y") - F.lit(low or 0.0) + 1)) for i in range(n)]).first()
+    g = np.array([v or 0.0 for v in sums[: n * n]], float).reshape(n, n)
+    w = _descend(g, np.array([v or 0.0 for v in sums[n * n :]], float))[:-1]
+    w = w / w.sum() if w.sum() > 0 else np.full(len(features), 1 / len(features))
+    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, w)], "feature string, weight double")
+
+
+def _descend(g: np.ndarray, c: np.ndarray, steps: int = 100_000) -> np.ndarray:
+    w = np.zeros(len(c))
+    for _ in range(steps):
+        last = w.copy()
+        for k in range(len(c)):
+            if g[k, k] > 0:
+                w[k] = max(0.0, w[k] + (c[k] - g[k] @ w) / g[k, k])
+        if np.abs(w - last).max() < 1e-13:
+            return w
+    raise RuntimeError("weights have not settled")
+
+
+def paired_differences(df: DataFrame, a: str, b: str, label: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """One row (point, low, high, improves): the rank correlation of a less that of b with the label, its
+    interval over resamples that draw the same rows for both, and the share of them in which it is above 0."""
+    rows = _numbered(df, a, b, label)
+    kept = rows.drop("i")
+    n = rows.count()
+    if n < 3:
+        return df.sparkSession.sql("select cast(null as double) point, cast(null as double) low, cast(null as double) high, cast(null as double) improves")
+    drawn = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    picks = drawn.select("replicate", F.pmod(F.xxhash64("replicate", "k", F.lit(seed)), F.lit(n)).cast("int").alias("i")).join(rows, "i")
+    of = {c: replicate_correlations(df, c, label, picks).withColumnRenamed("rho", f"rho_{c}") for c in (a, b)}
+    delta = of[a].join(of[b], "replicate").select((F.col(f"rho_{a}") - F.col(f"rho_{b}")).alias("d"))
+    point = stats.spearman(kept, a, label).first()["rho"] - stats.spearman(kept, b, label).first()["rho"]
+    return delta.agg(F.lit(point).alias("point"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") > 0).cast("int")).alias("improves"))
+
+
+def relabelled(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """Findings of dependencies with their package as the rule, so that one upgrade is one rule."""
+    named = packages.select("scan_id", "id", "package").dropDuplicates(["scan_id", "id"])
+    out = findings.join(named, ["scan_id", "id"], "left")
+    return out.withColumn("rule_id", F.when(F.col("analyzer") == "dependency", F.coalesce("package", "rule_id")).otherwise(F.col("rule_id"))).drop("package")
+
+
+def one_per_component(findings: DataFrame, is_cycle: Column, components: DataFrame) -> DataFrame:
+    """Findings with each scan's cycles replaced by one for each of its components (scan_id, place, severity)."""
+    rest = findings.where(~is_cycle).select("scan_id", "id", "analyzer", "rule_id", "severity")
+    had = findings.where(is_cycle).select("scan_id").distinct()
+    last = findings.groupBy("scan_id").agg(F.max("id").alias("last"))
+    new = components.join(had, "scan_id", "left_semi").join(last, "scan_id")
+    new = new.select("scan_id", (F.col("last") + F.col("place")).alias("id"), F.lit("architecture").alias("analyzer"), F.lit("cycle").alias("rule_id"), "severity")
+    return rest.unionByName(new)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import derived, findings, modules, training, usage
+from kilnwork.plans import derived, findings, health, modules, training, usage
 
-_MODULES = (training, findings, usage, derived, modules)
+_MODULES = (training, findings, usage, derived, modules, health)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
