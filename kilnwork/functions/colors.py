@@ -5,6 +5,7 @@ from __future__ import annotations
 import colorsys
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,3 +82,23 @@ def contrast(a: Column, b: Column) -> Column:
 def hue_gap(a: Column, b: Column) -> Column:
     apart = F.abs(a - b) % 360
     return F.least(apart, 360 - apart)
+
+
+def _inverse(rows: tuple[tuple[float, ...], ...]) -> list[list[float]]:
+    return np.linalg.inv(np.array(rows)).tolist()
+
+
+def from_oklab(lightness: Column, a: Column, b: Column) -> list[Column]:
+    """(r, g, b) in 0 to 255, clamped."""
+    lab = (lightness, a, b)
+    cones = [F.pow(sum((lab[k] * m[k] for k in range(1, 3)), lab[0] * m[0]), F.lit(3)) for m in _inverse(TO_LAB)]
+    out = []
+    for m in _inverse(TO_CONES):
+        v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((cones[k] * m[k] for k in range(1, 3)), cones[0] * m[0])))
+        out.append(255 * F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055))
+    return out
+
+
+def polar(lab: list[Column]) -> list[Column]:
+    """(lightness, chroma, hue in degrees) of an OKLab colour."""
+    return [lab[0], F.hypot(lab[1], lab[2]), F.pmod(F.degrees(F.atan2(lab[2], lab[1])), F.lit(360.0))]

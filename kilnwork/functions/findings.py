@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Severities in ascending order, and the tools' own names for them.
 SEVERITIES = ("info", "warning", "error", "critical")
@@ -162,10 +163,36 @@ def without_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\0"), F.lit(""))
 
 
+def without_nul_at_all(value: Column, kind: T.DataType) -> Column:
+    """The value with NUL taken from every text in it, at any depth."""
+    if isinstance(kind, T.StringType):
+        return without_nul(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without_nul_at_all(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: without_nul_at_all(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[without_nul_at_all(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
+
+
 def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike(TEST_PATH)
 
 
+def failure_reason(detail: Column) -> Column:
+    """Why a patch was refused, by the first rule that fits."""
+    text = F.coalesce(detail, F.lit(""))
+    return (
+        F.when(text.contains("Not a unified diff"), "not a unified diff")
+        .when(text.contains("patch does not apply") | text.contains("patch failed"), "context does not match the file")
+        .when(text.contains("corrupt patch"), "corrupt patch")
+        .when(text.rlike("(?i)does not exist|outside the repository|new file|deleted file|absolute"), "touches a file it may not")
+        .otherwise(F.concat(F.lit("other: "), F.substring(text, 1, 80)))
+    )
+
+
 def grade(score: Column) -> Column:
     return ladder(score, GRADES, "F")
 

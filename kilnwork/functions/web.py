@@ -179,3 +179,13 @@ def hash_similarity(a: Column, b: Column) -> Column:
     ok = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")
     apart = F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
     return F.when(ok, 1 - apart / 64)
+
+
+def screenshot_similarity(p: Column, q: Column, d: Column, e: Column) -> Column:
+    """The mean likeness of two pairs of hashes; null if one of the four is malformed."""
+    return (hash_similarity(p, q) + hash_similarity(d, e)) / 2
+
+
+def title_mentions(title: Column, word: str, brand: str, ambiguous: bool) -> Column:
+    """Whether a title names a word; an ambiguous one counts only as the brand is written."""
+    return title.rlike(rf"(?<!\w){re.escape(brand)}(?!\w)") if ambiguous else mentions(title, word)

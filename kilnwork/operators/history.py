@@ -122,6 +122,8 @@ def main_line(commits: DataFrame, heads: DataFrame, most: int = 40) -> DataFrame
         if grown == n:
             break
         n = grown
+    else:
+        raise RuntimeError("the line has not ended")
     discard(spark, at_j)
     return line
 

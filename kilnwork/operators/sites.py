@@ -49,6 +49,62 @@ def imitated_brands(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     return best.select("host", "m.brand", F.element_at(names, F.col("m.rule") + 1).alias("rule"))
 
 
+def brands_of(domains: DataFrame, brands: DataFrame) -> DataFrame:
+    """(domain, brand): the first brand, by `place`, that owns a domain or one above it. brands: brand, place,
+    domain. A domain meets brands on each of its endings, so none meets all."""
+    labels = F.split("domain", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    each = domains.where("domain is not null").select("domain", F.explode(endings).alias("owned")).distinct()
+    met = each.join(brands.select("brand", "place", F.col("domain").alias("owned")), "owned")
+    return met.groupBy("domain").agg(F.min(F.struct("place", "brand")).alias("m")).select("domain", "m.brand")
+
+
+def feed_keys(feed: DataFrame) -> DataFrame:
+    """(key): a feed's addresses and, as 'host:…', their hosts."""
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
+    return feed.select(F.col("url").alias("key")).unionByName(feed.where(host != "").select(F.concat(F.lit("host:"), host).alias("key"))).distinct()
+
+
+def link_brands(links: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+    """(page, brand, share): the brand that at least half of a page's links, five or more, lead to."""
+    n = links.groupBy("page", "brand").agg(F.count(F.lit(1)).alias("n"))
+    all_ = links.groupBy("page").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least)
+    best = n.where("brand is not null").groupBy("page").agg(F.max(F.struct("n", "brand")).alias("m"))
+    out = best.join(all_, "page").select("page", "m.brand", (F.col("m.n") / F.col("total")).alias("share"))
+    return out.where(F.col("share") >= share)
+
+
+def top_shares(styles: DataFrame, by: list[str], value: str, most: int = 5, least: float = 0.02) -> DataFrame:
+    """The most used values with a share of at least `least`, `most` of them."""
+    order = Window.partitionBy(*by).orderBy(F.desc("weight"), value)
+    kept = usage_shares(styles, by, value, F.lit(1), least)
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def color_weights(styles: DataFrame) -> DataFrame:
+    """(page, color, role, weight) of computed styles (page, area, above_fold, is_button, size, background, text):
+    backgrounds weigh their area, twice above the fold, four times on buttons; texts by the root of their size."""
+    at = F.when(F.col("above_fold"), 2.0).otherwise(1.0) * F.when(F.col("is_button"), 4.0).otherwise(1.0)
+    back = F.struct(F.col("background").alias("color"), F.lit("background").alias("role"), (F.col("area") * at).alias("weight"))
+    front = F.struct(F.col("text").alias("color"), F.lit("text").alias("role"), (F.col("area") * at * F.sqrt(F.col("size") / 16)).alias("weight"))
+    each = styles.select("page", F.explode(F.array(back, front)).alias("s")).select("page", "s.*").where("color is not null")
+    return each.groupBy("page", "color", "role").agg(F.sum("weight").alias("weight"))
+
+
+def nearest_color(asked: DataFrame, seen: DataFrame, most: float = 0.04, cell: float = 0.04) -> DataFrame:
+    """(page, color, match, distance): the nearest seen colour within `most`, the first of equals. asked and
+    seen: page, color, l, a, b of OKLab. Colours meet on cells of a grid as wide as the reach and its neighbours."""
+    width = max(most, cell)
+    at = [F.floor(F.col(c) / width).cast("int") for c in "lab"]
+    near = lambda x: F.explode(F.array(x - 1, x, x + 1))
+    cells = asked.select("page", "color", "l", "a", "b", near(at[0]).alias("g0")).withColumn("g1", near(at[1])).withColumn("g2", near(at[2]))
+    there = seen.select("page", F.col("color").alias("match"), *[F.col(c).alias(f"s{c}") for c in "lab"], *[F.floor(F.col(c) / width).cast("int").alias(f"g{i}") for i, c in enumerate("lab")])
+    apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"s{c}"), F.lit(2)) for c in "ab"), F.pow(F.col("l") - F.col("sl"), F.lit(2))))
+    met = cells.join(there, ["page", "g0", "g1", "g2"]).withColumn("distance", apart).where(F.col("distance") <= most)
+    best = met.groupBy("page", "color").agg(F.min(F.struct("distance", "match")).alias("m"))
+    return best.select("page", "color", "m.match", "m.distance")
+
+
 def nearest_reference(pages: DataFrame, references: DataFrame, most_references: int = 10_000) -> DataFrame:
     """(page, reference, similarity): the most similar reference screenshot, the first of equals.
     The list of references is counted and refused beyond a bound, as every page meets it."""
@@ -56,7 +112,12 @@ def nearest_reference(pages: DataFrame, references: DataFrame, most_references:
         raise ValueError("too many references to meet every page")
     rows = references.select("reference", "place", F.col("hash").alias("ref_hash"))
     listed = rows.agg(F.array_sort(F.collect_list(F.struct("place", "reference", "ref_hash"))).alias("refs"))
-    each = pages.select("page", "hash").join(F.broadcast(listed)).select("page", "hash", F.explode("refs").alias("r"))
+    refs = listed.first()["refs"]
+    if not refs:
+        return pages.limit(0).select("page", F.lit("").alias("reference"), F.lit(0.0).alias("similarity"))
+    kind = listed.schema["refs"].dataType.simpleString()
+    known = pages.sparkSession.createDataFrame([(refs,)], f"refs {kind}").select("refs", F.lit(1).alias("_one"))
+    each = pages.select("page", "hash", F.lit(1).alias("_one")).join(F.broadcast(known), "_one").select("page", "hash", F.explode("refs").alias("r"))
     s = web.hash_similarity(F.col("hash"), F.col("r.ref_hash"))
     scored = each.select("page", F.struct(s.alias("similarity"), (-F.col("r.place")).alias("p"), F.col("r.reference").alias("reference")).alias("m")).where("m.similarity is not null")
     return scored.groupBy("page").agg(F.max("m").alias("m")).select("page", "m.reference", "m.similarity")

@@ -144,9 +144,7 @@ def agg51_validation_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prj28_failure_reasons(spark: SparkSession, d: str) -> DataFrame:
-    text = F.lower(F.coalesce("validation_detail", F.lit("")))
-    reason = F.when(text == "", "none").when(text.contains("hunk"), "hunk").when(text.contains("syntax"), "syntax").otherwise("other")
-    return fixes(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return fixes(spark, d).groupBy(fn.failure_reason(F.col("validation_detail")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- stateful control
@@ -308,6 +306,9 @@ _PRE = f"""(SELECT scan_id, path, id, severity, depth, array_to_string(list_slic
   FROM (SELECT *, string_split(path, '/') AS p, unnest(range(0, len(string_split(path, '/')))) AS depth FROM {_P}))"""
 
 ORACLE = {
+    "gr05_strong_components": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT scan_id, finding_id AS src, dst FROM (SELECT scan_id, finding_id, unnest(shared_with_finding_ids) AS dst FROM {_X} WHERE finding_id IS NOT NULL) WHERE dst IS NOT NULL),
+      n AS MATERIALIZED (SELECT DISTINCT scan_id, unnest([src, dst]) AS node FROM e), r AS (SELECT scan_id, node, node AS far FROM n UNION SELECT r.scan_id, r.node, e.dst FROM r JOIN e ON e.scan_id IS NOT DISTINCT FROM r.scan_id AND e.src = r.far),
+      m AS (SELECT a.scan_id, a.node, min(a.far) AS component, CAST(count(*) AS INT) AS size FROM r a JOIN r b ON a.scan_id IS NOT DISTINCT FROM b.scan_id AND a.node = b.far AND a.far = b.node GROUP BY 1, 2) SELECT * FROM m""",
     "agg04_spend_by_day": f"SELECT {_DAY} AS day, {_SPEND} FROM {_C} GROUP BY 1",
     "agg04_spend_by_purpose": f"SELECT purpose, {_SPEND} FROM {_C} GROUP BY 1",
     "jn02_spend_by_owner": f"""SELECT coalesce(user_id, '(anonymous)') AS owner, {_SPEND} FROM {_C} c LEFT JOIN {_S} s ON s.id = c.scan_id GROUP BY 1
@@ -337,8 +338,12 @@ ORACLE = {
     "agg41_auc": f"""WITH {_SCORED}, p AS (SELECT threshold, fp / (fp + tn) AS fpr, tp / (tp + fn) AS recall FROM c UNION ALL SELECT 1000000000, 0, 0 UNION ALL SELECT -1000000000, 1, 1)
       SELECT round(sum(a), 6) AS auc FROM (SELECT (fpr - lag(fpr) OVER w) * (recall + lag(recall) OVER w) / 2 AS a FROM p WINDOW w AS (ORDER BY threshold DESC))""",
     "agg51_validation_rates": f"""SELECT analyzer, count(*) AS n, round(avg(CASE WHEN validation_status = 'valid' THEN 1 ELSE 0 END), 6) AS valid_share FROM {_X} x JOIN {_F} f ON f.id = x.finding_id GROUP BY 1""",
-    "prj28_failure_reasons": f"""SELECT CASE WHEN coalesce(validation_detail, '') = '' THEN 'none' WHEN contains(lower(validation_detail), 'hunk') THEN 'hunk'
-      WHEN contains(lower(validation_detail), 'syntax') THEN 'syntax' ELSE 'other' END AS reason, count(*) AS n FROM {_X} GROUP BY 1""",
+    "prj28_failure_reasons": f"""SELECT CASE WHEN contains(t, 'Not a unified diff') THEN 'not a unified diff' WHEN contains(t, 'patch does not apply') OR contains(t, 'patch failed') THEN 'context does not match the file' WHEN contains(t, 'corrupt patch') THEN 'corrupt patch'
+      WHEN regexp_matches(t, '(?i)does not exist|outside the repository|new file|deleted file|absolute') THEN 'touches a file it may not' ELSE 'other: ' || substr(t, 1, 80) END AS reason, count(*) AS n FROM (SELECT coalesce(validation_detail, '') AS t FROM {_X}) GROUP BY 1""",
+    "st01_sliding_limit": """WITH RECURSIVE z AS MATERIALIZED (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      r AS (SELECT user_id, event_id, k, [ms] AS live, true AS allowed FROM z WHERE k = 1
+        UNION ALL SELECT z.user_id, z.event_id, z.k, CASE WHEN len(f) < 3 THEN list_append(f, ms) ELSE f END, len(f) < 3 FROM r JOIN z ON z.user_id = r.user_id AND z.k = r.k + 1, LATERAL (SELECT list_filter(live, lambda t: t > ms - 3600000) AS f))
+      SELECT user_id, event_id, allowed, CAST(len(live) AS INT) AS used FROM r""",
     "st01_trailing_counts": """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS trailing FROM events""",
     "st03_quota_days": f"""SELECT day, tokens, CAST(sum(tokens) OVER (PARTITION BY substr(day, 1, 7) ORDER BY day) AS BIGINT) AS month_so_far
       FROM (SELECT {_DAY} AS day, CAST(sum({_TOK}) AS BIGINT) AS tokens FROM {_C} GROUP BY 1)""",

@@ -87,9 +87,9 @@ def upstream(needs: DataFrame, by: list[str], most: int = 20) -> DataFrame:
         closed, at = new, at_new
         grown = closed.count()
         if grown == n:
-            break
+            return closed
         n = grown
-    return closed
+    raise RuntimeError("needs have not been followed to their end")
 
 
 def gated(all_jobs: DataFrame) -> DataFrame:
