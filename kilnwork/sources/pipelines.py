@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +26,23 @@ def kinds_of(text: Column) -> Column:
     return F.when(text.rlike(NEITHER), F.array().cast("array<string>")).otherwise(F.array_compact(marks))
 
 
+SINGLE = {"azure-pipelines.yml": "azure", ".travis.yml": "travis", "bitbucket-pipelines.yml": "bitbucket"}
+STEP = re.compile(r"""(?s)\b(?:sh|bat|powershell)\b\s*\(?\s*(?:script\s*:\s*)?(?:\"\"\"(.*?)\"\"\"|\'\'\'(.*?)\'\'\'|"([^"\n]*)"|'([^'\n]*)')""")
+
+
+def _texts(value: object) -> list[str]:
+    """Lines of every text below a value, in order."""
+    if isinstance(value, str):
+        return [line for line in value.splitlines() if line.strip()]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [line for x in inner for line in _texts(x)]
+
+
 def jobs_of(path: str, text: str) -> list[tuple[str, int | None, list[str], list[str]]]:
-    """(job, stage, needs, items); nothing for what isn't YAML of a known dialect."""
+    """(job, stage, needs, items); nothing for what isn't of a known dialect."""
+    name = path.rpartition("/")[2]
+    if name == "Jenkinsfile":
+        return [("Jenkinsfile", None, [], [line for m in STEP.finditer(text) for line in _texts(next((g for g in m.groups() if g is not None), ""))])]
     try:
         import yaml
     except ImportError:
@@ -52,6 +68,17 @@ def jobs_of(path: str, text: str) -> list[tuple[str, int | None, list[str], list
             if isinstance(body, dict):
                 steps = [s for s in body.get("steps") or [] if isinstance(s, dict)]
                 out.append((str(job), None, names(body.get("needs")), [x for s in steps for x in (lines(s.get("run")) or lines(s.get("uses")))]))
+    elif path.endswith(".circleci/config.yml") and isinstance(doc.get("jobs"), dict):
+        above: dict[str, list[str]] = {}
+        for flow in (doc.get("workflows") or {}).values() if isinstance(doc.get("workflows"), dict) else ():
+            for entry in flow.get("jobs") or [] if isinstance(flow, dict) else ():
+                for job, options in entry.items() if isinstance(entry, dict) else ():
+                    above.setdefault(str(job), []).extend(names(options.get("requires") or []) if isinstance(options, dict) else [])
+        for job, body in doc["jobs"].items():
+            out.append((str(job), None, above.pop(str(job), []), _texts(body)))
+        out += [(job, None, needs, [job]) for job, needs in above.items()]
+    elif name in SINGLE:
+        out.append((SINGLE[name], None, [], _texts(doc)))
     elif path.endswith(".gitlab-ci.yml"):
         stages = [str(s) for s in doc.get("stages") or [".pre", "build", "test", "deploy", ".post"]]
         for job, body in doc.items():
