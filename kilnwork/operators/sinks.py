@@ -35,3 +35,26 @@ def purged(df: DataFrame, texts: list[str], at: str, before: Column) -> DataFram
     """Texts of rows older than `before` emptied to null; rows stay."""
     old = F.col(at) < before
     return df.withColumns({c: F.when(old, None).otherwise(F.col(c)) for c in texts})
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `old` with those of `new` in the place of equal keys, and the rest of `new` beside them."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def css_tokens(tokens: DataFrame, by: str) -> DataFrame:
+    """(by, css): tokens (name, value) as custom properties, by name."""
+    line = F.concat(F.lit("  --"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), F.lit(": "), "value", F.lit(";"))
+    listed = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    return tokens.where("name is not null and value is not null").groupBy(by).agg(F.concat(F.lit(":root {\n"), listed, F.lit("\n}\n")).alias("css"))
+
+
+def newest_entries(log: DataFrame, at: str, most: int, *tie: str) -> DataFrame:
+    """A bounded log, the newest first."""
+    return log.orderBy(F.desc(at), *tie).limit(most)
+
+
+def unfinished(deliveries: DataFrame, state: DataFrame, key: str, ended: tuple[str, ...]) -> DataFrame:
+    """Deliveries that are still to be worked on: the first of each key whose state hasn't ended."""
+    over = state.where(F.col("status").isin(*ended)).select(key)
+    return deliveries.dropDuplicates([key]).join(over, key, "left_anti")

@@ -157,3 +157,13 @@ def spacing_base(values: DataFrame, by: list[str], px: str, share: float = 0.8)
     sums = counted.groupBy(*by).agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col(px) % b == 0, F.col("n")).otherwise(0)).alias(f"_{b}") for b in BASES])
     base = F.coalesce(*[F.when(F.col(f"_{b}") >= share * F.col("_all"), b) for b in BASES])
     return sums.select(*by, base.alias("base"))
+
+
+def sampled(urls: DataFrame, most: int, seed: str) -> DataFrame:
+    """(url, domain): the first address of each registrable domain in an order that the seed gives, `most` of
+    the domains in that order."""
+    order = F.md5(F.concat(F.lit(seed), "url"))
+    host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
+    each = urls.select("url", web.registrable(host).alias("domain"), order.alias("o")).distinct()
+    first = each.groupBy("domain").agg(F.min(F.struct("o", "url")).alias("m"))
+    return first.orderBy("m.o").limit(most).select("m.url", "domain")

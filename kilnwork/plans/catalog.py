@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import derived, findings, health, modules, texts, training, usage
+from kilnwork.plans import derived, files, findings, health, modules, texts, training, usage
 
-_MODULES = (training, findings, usage, derived, modules, health, texts)
+_MODULES = (training, findings, usage, derived, modules, health, texts, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -394,7 +394,17 @@ QUERIES = {
     )
 }
 
+# Each file's findings of a kind in order: one joins the group at hand or begins the next.
+_GROUPS = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan_id, path, kind ORDER BY s, id) AS k FROM (SELECT scan_id, id, {_PATH.format('file_path')} AS path, coalesce(category, 'rule:' || analyzer || ':' || rule_id, 'rule:' || coalesce(analyzer, rule_id), 'rule') AS kind, start_line AS s, coalesce(end_line, start_line) AS e FROM {_F})
+    WHERE scan_id IS NOT NULL AND path IS NOT NULL AND s IS NOT NULL),
+  r AS (SELECT scan_id, path, kind, k, id, s AS a, e AS z, id AS anchor_id FROM b WHERE k = 1
+    UNION ALL SELECT b.scan_id, b.path, b.kind, b.k, b.id, CASE WHEN j THEN r.a ELSE b.s END, CASE WHEN j THEN r.z ELSE b.e END, CASE WHEN j THEN r.anchor_id ELSE b.id END
+    FROM r JOIN b ON b.scan_id = r.scan_id AND b.path = r.path AND b.kind = r.kind AND b.k = r.k + 1, LATERAL (SELECT r.a = b.s OR (r.z - r.a <= 5 AND r.z >= b.s) AS j))"""
+
 ORACLE = {
+    "win04_groups": f"{_GROUPS} SELECT scan_id, id, anchor_id FROM r",
+    "agg14_merged": f"""{_GROUPS}, f AS (SELECT r.scan_id, anchor_id, f.id, {_RANK.format('severity')} AS n, coalesce(length(trim(message)), -1) AS l, (code_snippet IS NOT NULL)::INT AS c FROM r JOIN {_F} f ON f.id = r.id)
+      SELECT scan_id, anchor_id, arg_max(id, (l, n, c, -id)) AS id, CASE max(n) WHEN 1 THEN 'info' WHEN 2 THEN 'warning' WHEN 3 THEN 'error' WHEN 4 THEN 'critical' END AS severity, count(*) AS n_merged FROM f GROUP BY 1, 2""",
     "src10_semgrep_findings": f"""WITH o AS (
       SELECT scan_id, result_id, regexp_replace(check_id, '^rules\\.', '') AS rule_id, {_SEV.format('extra.severity')} AS severity,
         {_PATH.format('path')} AS file_path, "start".line AS start_line, greatest(end_pos.line, "start".line) AS end_line,
