@@ -404,7 +404,7 @@ _GROUPS = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PAR
 ORACLE = {
     "win04_groups": f"{_GROUPS} SELECT scan_id, id, anchor_id FROM r",
     "agg14_merged": f"""{_GROUPS}, f AS (SELECT r.scan_id, anchor_id, f.id, {_RANK.format('severity')} AS n, coalesce(length(trim(message)), -1) AS l, (code_snippet IS NOT NULL)::INT AS c FROM r JOIN {_F} f ON f.id = r.id)
-      SELECT scan_id, anchor_id, arg_max(id, (l, n, c, -id)) AS id, CASE max(n) WHEN 1 THEN 'info' WHEN 2 THEN 'warning' WHEN 3 THEN 'error' WHEN 4 THEN 'critical' END AS severity, count(*) AS n_merged FROM f GROUP BY 1, 2""",
+      SELECT scan_id, anchor_id, arg_max(id, (l, n, c, -id)) AS id, CASE max(n) WHEN 2 THEN 'warning' WHEN 3 THEN 'error' WHEN 4 THEN 'critical' ELSE 'info' END AS severity, count(*) AS n_merged FROM f GROUP BY 1, 2""",
     "src10_semgrep_findings": f"""WITH o AS (
       SELECT scan_id, result_id, regexp_replace(check_id, '^rules\\.', '') AS rule_id, {_SEV.format('extra.severity')} AS severity,
         {_PATH.format('path')} AS file_path, "start".line AS start_line, greatest(end_pos.line, "start".line) AS end_line,
