@@ -231,52 +231,44 @@ def pack(
         return spark.createDataFrame([], shape)
     counts = cut(token_counts(docs, key, text, tokenizer))
     salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = None
-    for capacity_id, capacity in sorted(capacities.items()):
-        whole = F.floor(F.col("n_tokens") / capacity)
-        last = F.col("n_tokens") - whole * capacity
-        pieces = counts.select(
-            key,
-            "n_tokens",
-            F.explode(F.sequence(F.lit(0), F.greatest(whole + F.when(last > 0, 1).otherwise(0) - 1, F.lit(0)))).alias("piece"),
-        ).select(
-            key,
-            F.col("piece").cast("int").alias("piece"),
-            (F.col("piece") * capacity).cast("int").alias("start_token"),
-            F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"),
-            F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int").alias("salt"),
-        )
-        per_salt = pieces.where("n_tokens > 0").groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-        per_salt = cut(per_salt)
-        sizes = {r.n_tokens: r.n for r in per_salt.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}
-        plan = spark.sparkContext.broadcast(make_plan(sizes, capacity, resolution))
-        before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_salt.select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        ranked = pieces.where("n_tokens > 0").withColumn(
-            "rank",
-            F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy(F.xxhash64(key, "piece"), key, "piece")) - 1,
-        )
-        ranked = ranked.join(offsets, ["n_tokens", "salt"])
-
-        def place(batches: Iterator[pd.DataFrame], plan=plan, capacity_id=capacity_id) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ranks = batch["offset"].to_numpy(np.int64) + batch["rank"].to_numpy(np.int64)
-                batch["container_id"] = plan.value.containers_of(batch["n_tokens"].to_numpy(), ranks)
-                batch["capacity_id"] = capacity_id
-                yield batch[["capacity_id", "container_id", key, "piece", "start_token", "n_tokens"]]
-
-        placed = ranked.mapInPandas(place, shape)
-        empty = pieces.where("n_tokens <= 0").select(
-            F.lit(capacity_id).alias("capacity_id"),
-            F.lit(0).cast("bigint").alias("container_id"),
-            key,
-            "piece",
-            "start_token",
-            "n_tokens",
-        )
-        part = placed.unionByName(empty)
-        out = part if out is None else out.unionByName(part)
-    return out
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("id"), F.lit(c).cast("bigint").alias("size")) for k, c in sorted(capacities.items())])).alias("c")
+    capacity = F.col("c.size")
+    whole = F.floor(F.col("n_tokens") / capacity)
+    last = F.col("n_tokens") - whole * capacity
+    n_pieces = F.greatest(whole + F.when(last > 0, 1).otherwise(0), F.lit(1))
+    pieces = counts.select(key, "n_tokens", each).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), n_pieces - 1)))
+    pieces = pieces.select(
+        F.col("c.id").alias("capacity_id"),
+        key,
+        F.col("piece").cast("int").alias("piece"),
+        (F.col("piece") * capacity).cast("int").alias("start_token"),
+        F.least(capacity, F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("n_tokens"),
+        F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int").alias("salt"),
+    )
+    by = ["capacity_id", "n_tokens"]
+    per_salt = cut(pieces.where("n_tokens > 0").groupBy(*by, "salt").agg(F.count(F.lit(1)).alias("n")))
+    histograms: dict[int, dict[int, int]] = {k: {} for k in capacities}
+    for r in per_salt.groupBy(*by).agg(F.sum("n").alias("n")).collect():  # at most a capacity's sizes each
+        histograms[r.capacity_id][r.n_tokens] = r.n
+    plans = spark.sparkContext.broadcast({k: make_plan(histograms[k], c, resolution) for k, c in capacities.items()})
+    before = Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_salt.select(*by, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy(*by, "salt").orderBy(F.xxhash64(key, "piece"), key, "piece")
+    ranked = pieces.where("n_tokens > 0").withColumn("rank", F.row_number().over(order) - 1).join(offsets, [*by, "salt"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ranks = batch["offset"].to_numpy(np.int64) + batch["rank"].to_numpy(np.int64)
+            of, sizes = batch["capacity_id"].to_numpy(), batch["n_tokens"].to_numpy()
+            container = np.zeros(len(batch), np.int64)
+            for k in np.unique(of).tolist():
+                mine = of == k
+                container[mine] = plans.value[k].containers_of(sizes[mine], ranks[mine])
+            batch["container_id"] = container
+            yield batch[["capacity_id", "container_id", key, "piece", "start_token", "n_tokens"]]
+
+    empty = pieces.where("n_tokens <= 0").select("capacity_id", F.lit(0).cast("bigint").alias("container_id"), key, "piece", "start_token", "n_tokens")
+    return ranked.mapInPandas(place, shape).unionByName(empty)
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
