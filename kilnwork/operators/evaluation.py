@@ -116,10 +116,8 @@ def collinearity(long: DataFrame, row: str, name: str, value: str, least: int =
         n = cells.groupBy("a", "b", side).agg(F.sum("c").alias("m"))
         below = F.sum("m").over(Window.partitionBy("a", "b").orderBy(side)) - F.col("m")
         cells = cells.join(n.select("a", "b", side, (below + (F.col("m") + 1) / 2).alias(f"r{side}")), ["a", "b", side])
-    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
-    m = cells.groupBy("a", "b").agg(F.sum("c").alias("n"), F.sum(c * x).alias("x"), F.sum(c * y).alias("y"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
-    rho = F.try_divide(F.expr("xy - x * y / n"), F.sqrt(F.expr("(xx - x * x / n) * (yy - y * y / n)")))
-    return m.where(F.col("n") >= least).select("a", "b", "n", rho.alias("rho"))
+    rho = stats.weighted_correlation(F.col("c"), F.col("rx"), F.col("ry"))
+    return cells.groupBy("a", "b").agg(F.sum("c").alias("n"), rho.alias("rho")).where(F.col("n") >= least)
 
 
 def signal_table(evidence: DataFrame, labels: DataFrame) -> DataFrame:

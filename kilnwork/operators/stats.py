@@ -29,17 +29,28 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     rx = value_ranks(both, x).select(x, F.col("rank").alias("_rx"))
     ry = value_ranks(both, y).select(y, F.col("rank").alias("_ry"))
-    ranked = both.join(rx, x).join(ry, y)
-    out = ranked.agg(F.corr("_rx", "_ry").alias("r"), F.count(F.lit(1)).alias("n"))
-    return out.select(F.when((F.col("n") >= 3) & ~F.isnan("r"), F.col("r")).alias("rho"), "n")
+    # Equal pairs are one row with a weight, so a value of a third of all rows is few rows at the join.
+    cells = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("_c")).join(rx, x).join(ry, y)
+    out = cells.agg(weighted_correlation(F.col("_c"), F.col("_rx"), F.col("_ry")).alias("r"), F.sum("_c").alias("n"))
+    return out.select(F.when((F.col("n") >= 3) & ~F.isnan("r"), F.col("r")).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def weighted_correlation(c: Column, x: Column, y: Column) -> Column:
+    """The correlation of x and y, each row standing for c; an aggregate."""
+    n, sx, sy = F.sum(c), F.sum(c * x), F.sum(c * y)
+    apart = (F.sum(c * x * x) - sx * sx / n) * (F.sum(c * y * y) - sy * sy / n)
+    return F.when(apart > 0, (F.sum(c * x * y) - sx * sy / n) / F.sqrt(apart))
 
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, gini): null where the values sum to nothing."""
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    g = 2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n
+    """(by, gini): null where the values sum to nothing. Equal values of a group are counted before they
+    are put in order, so what is sorted are its distinct values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c, v = F.col("_c"), F.col(value)
+    placed = counted.withColumn("_i", c * below + c * (c + 1) / 2)  # the places of equal values, summed
+    n, total = F.sum(c), F.sum(c * v)
+    g = 2 * F.sum(F.col("_i") * v) / (n * total) - (n + 1) / n
     return placed.groupBy(*by).agg(F.when(total > 0, g).alias("gini"))
 
 

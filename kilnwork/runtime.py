@@ -55,13 +55,25 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     it carries no constraints along, which a loop of many steps would pile up."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+WRITTEN: set[str] = set()
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this session has written to cut lineage and that are still there; for a session's
+    end, when no frame reads them any more. Checkpoints go by spark.cleaner.referenceTracking.cleanCheckpoints."""
+    for path in list(WRITTEN):
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    WRITTEN.discard(path)
 
 
 def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
