@@ -189,3 +189,33 @@ def screenshot_similarity(p: Column, q: Column, d: Column, e: Column) -> Column:
 def title_mentions(title: Column, word: str, brand: str, ambiguous: bool) -> Column:
     """Whether a title names a word; an ambiguous one counts only as the brand is written."""
     return title.rlike(rf"(?<!\w){re.escape(brand)}(?!\w)") if ambiguous else mentions(title, word)
+
+
+def is_low_information(pixels: Column, spread: float = 12.0, share: float = 0.92) -> Column:
+    """Whether a picture of grey values hardly varies, or is mostly one value."""
+    n = F.size(pixels)
+    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / n
+    squares = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x * x) / n
+    ordered = F.array_sort(pixels)
+    # The longest run of equal values in order.
+    start = F.struct(F.lit(-1).alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["v"] == x, a["run"] + 1).otherwise(1)
+        return F.struct(x.cast("int").alias("v"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    most = F.aggregate(ordered, start, step)["most"]
+    return F.when(n > 0, (F.sqrt(F.greatest(F.lit(0.0), squares - mean * mean)) < spread) | (most / n > share))
+
+
+def gradient_hash(pixels: Column) -> Column:
+    """16 hexadecimal digits of 8 rows of 9 grey values: whether each is brighter than the one after it."""
+    def bit(k: Column) -> Column:
+        at = F.floor(k / 8).cast("int") * 9 + k % 8
+        return (F.get(pixels, at) < F.get(pixels, at + 1)).cast("int")
+
+    def digit(k: Column) -> Column:
+        value = bit(4 * k) * 8 + bit(4 * k + 1) * 4 + bit(4 * k + 2) * 2 + bit(4 * k + 3)
+        return F.substring(F.lit("0123456789abcdef"), value + 1, F.lit(1))
+
+    return F.when(F.size(pixels) == 72, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), digit), ""))

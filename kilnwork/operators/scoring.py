@@ -150,3 +150,10 @@ def impacts(findings: DataFrame, sizes: DataFrame) -> DataFrame:
     penalty = F.greatest(F.lit(0.0), F.col("penalty") * F.col("size") - F.col("rule_penalty") + F.col("without"))
     gain = (half_life_score(penalty / F.col("size"), half) - F.col("score")) * F.col("weight")
     return per.select("scan_id", "id", F.greatest(F.lit(0.0), gain).alias("impact"))
+
+
+def category_deltas(base: DataFrame, head: DataFrame, by: str) -> DataFrame:
+    """(by, name, before, after, delta) of categories as arrays of (name, score), a category of one side only with
+    a null on the other."""
+    sides = {c: df.select(by, F.inline("categories")).select(by, "name", F.col("score").alias(c)) for c, df in (("before", base), ("after", head))}
+    return sides["before"].join(sides["after"], [by, "name"], "full").withColumn("delta", F.col("after") - F.col("before"))

@@ -109,3 +109,36 @@ def feed(texts: DataFrame, least: int = 20) -> DataFrame:
     if urls.limit(least).count() < least:
         raise ValueError("the feed has too few entries")
     return urls
+
+
+CAPTURE = (
+    "struct<requested_url: string, final_url: string, title: string, redirects: array<string>, links: array<string>, "
+    "forms: array<struct<action: string, inputs: array<struct<type: string, name: string>>>>>"
+)
+
+
+def captures(rows: DataFrame, most_forms: int = 100) -> DataFrame:
+    """(page, url, title, redirects, links, forms, asks_password) of captured pages (page, payload); what isn't of
+    the shape has nulls and no forms."""
+    p = F.from_json("payload", CAPTURE)
+    c = rows.select("page", p.alias("p"))
+    none = F.array().cast("array<string>")
+    forms = F.slice(F.coalesce("p.forms", F.from_json(F.lit("[]"), "array<struct<action: string, inputs: array<struct<type: string, name: string>>>>")), 1, most_forms)
+    secret = F.exists(forms, lambda f: F.exists(F.coalesce(f["inputs"], F.from_json(F.lit("[]"), "array<struct<type: string, name: string>>")), lambda i: F.coalesce(F.lower(i["type"]) == "password", F.lit(False))))
+    return c.select("page", F.coalesce("p.final_url", "p.requested_url").alias("url"), F.trim("p.title").alias("title"), F.coalesce("p.redirects", none).alias("redirects"), F.coalesce("p.links", none).alias("links"), F.size(forms).alias("forms"), secret.alias("asks_password"))
+
+
+def reference_hashes(texts: DataFrame) -> DataFrame:
+    """(reference, place, hash) of reference lists (value): JSON arrays of {name, hashes}, in their order."""
+    r = texts.select(F.posexplode(F.from_json("value", "array<struct<name: string, hashes: array<string>>>")).alias("place", "r"))
+    return r.select(F.col("r.name").alias("reference"), "place", F.explode("r.hashes").alias("hash"))
+
+
+def snapshot_findings(lines: DataFrame) -> DataFrame:
+    """(scan_id, id, analyzer, rule_id, severity, path, corroborated) of snapshots, a scan a line (value), whose findings
+    are arrays by position. Broken lines have none."""
+    s = lines.select(F.from_json("value", "struct<scan_id: string, findings: array<array<string>>>").alias("s"))
+    each = s.select("s.scan_id", F.explode("s.findings").alias("f"))
+    names = ("id", "analyzer", "rule_id", "severity", "path", "corroborated")
+    out = each.select("scan_id", *[F.get("f", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    return out.withColumn("id", F.col("id").try_cast("bigint")).where("id is not null")
