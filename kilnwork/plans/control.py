@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,11 +11,11 @@ from pyspark.sql.window import Window
 
 from kilnwork.functions import web
 from kilnwork.operators import analyzers, limits, scoring
-from kilnwork.plans import findings as plans
 from kilnwork.plans.findings import _F, _S, findings, scans
 from kilnwork.plans.usage import _C, calls
-from kilnwork.runtime import table
+from kilnwork.runtime import shared_dir, table
 from kilnwork.sources import advisories
+from kilnwork.streaming import events as stream
 
 
 def _broken(df: DataFrame) -> DataFrame:
@@ -70,6 +72,14 @@ def st02_costs(spark: SparkSession, d: str) -> DataFrame:
     return limits.admitted(e, "user_id", F.unix_millis(F.col("ts").cast("timestamp")), "event_id", 86_400_000, 4, cost)
 
 
+def st09_claimed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream in which each comes twice: every one is taken once."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = stream.read(spark, d, 1000, "events*.parquet").select("event_id", "at")
+    twice = events.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("n"), "event_id", "at").drop("n")
+    return stream.written_out(stream.first_of(twice, ["event_id"], "3650 days").select("event_id"), f"{folder}/out", f"{folder}/state")
+
+
 def dt06_resets(spark: SparkSession, d: str) -> DataFrame:
     s = scans(spark, d)
     seconds = F.length(F.coalesce("repo_name", F.lit(""))) * 61 * F.when(F.col("source") == "github", 5).otherwise(700)
@@ -131,7 +141,7 @@ def src36_gradient_hashes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ext01_statuses, ext02_selected, ext05_apart, st04_ledger, st02_costs, dt06_resets, jn27_limits, arr10_category_deltas, src30_captures,
+        st09_claimed, ext01_statuses, ext02_selected, ext05_apart, st04_ledger, st02_costs, dt06_resets, jn27_limits, arr10_category_deltas, src30_captures,
         src35_references, src38_snapshots, mth08_low_information, src36_gradient_hashes,
     )
 }
@@ -139,6 +149,7 @@ QUERIES = {
 _PIX = "list_transform(range(72), lambda i: CASE WHEN i < p_partkey % 72 THEN 7 ELSE (i * p_size) % 256 END)"
 
 ORACLE = {
+    "st09_claimed": "SELECT DISTINCT event_id FROM events WHERE ts IS NOT NULL",
     "ext01_statuses": """SELECT 'semgrep' AS analyzer, 'completed' AS status, count(DISTINCT result_id) AS n FROM semgrep_output UNION ALL SELECT 'bandit', 'completed', count(DISTINCT result_id) FROM bandit_output
       UNION ALL SELECT 'summary', 'completed', count(DISTINCT id) FROM findings UNION ALL SELECT 'broken', 'failed', 0 UNION ALL SELECT 'absent', 'skipped', 0""",
     "ext02_selected": f"""SELECT id AS scan_id, a AS analyzer, CAST(p AS INT) AS phase, len(l) = 0 OR list_has_any(l, coalesce(list_transform(detected_languages, lambda x: x.language), [])) AS applies

@@ -176,6 +176,18 @@ def agg44_without_category(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.score_without(e, "reputation")
 
 
+def agg42_ablation(spark: SparkSession, d: str) -> DataFrame:
+    labels = scans(spark, d).select(F.col("id").alias("record_id"), (F.col("status") != "completed").alias("bad"))
+    out = evaluation.ablation(_evidence(spark, d), labels)
+    return out.select("signal", *[F.round(c, 6).alias(c) for c in ("auc", "auc_without", "drop")])
+
+
+def agg51_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Of a scan's citations: sides that aren't in its graph, and the share of citations that stand."""
+    c = modules.jn18_citations(spark, d).groupBy("scan_id")
+    return c.agg(F.count(F.lit(1)).alias("cited"), F.round(F.sum("invalid") / F.sum(F.col("valid") + F.col("invalid")), 4).alias("invented"), F.round(F.avg(F.col("reason").isNull().cast("int")), 6).alias("standing"))
+
+
 def tk13_best_threshold(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.best_threshold(usage.agg40_confusion(spark, d))
 
@@ -224,7 +236,7 @@ QUERIES = {
         jn15_unused, jn16_undeclared, agg26_direct_counts, mth02_transitive, prj27_tools_by_name, tk14_budget, tk09_outdated, src25_registry,
         agg12_signal_values, agg10_deductions, set04_states, snk04_stored, agg27_error_handling, prj18_test_kinds, agg28_test_quality,
         agg29_ci_quality, prj24_conforming, agg30_naming, agg44_without_category, tk13_best_threshold, jn26_run_changes, agg49_subsets,
-        agg46_fitted_weights, agg47_paired_differences, set06_rules_by_package, set06_one_per_component,
+        agg42_ablation, agg51_citations, agg46_fitted_weights, agg47_paired_differences, set06_rules_by_package, set06_one_per_component,
     )
 }
 
@@ -280,6 +292,11 @@ ORACLE = {
     "prj24_conforming": f"WITH {_ID} SELECT DISTINCT language, name, kind, const, {_CONF} AS conforms FROM i",
     "agg30_naming": f"""WITH {_ID} SELECT scan_id, count(*) AS identifiers, count(*) FILTER ({_CONF}) AS conforming, count(*) FILTER (kind = 'variable' AND length(name) = 1 AND name <> '_') AS single_letter, round(count(*) FILTER ({_CONF}) / count(*), 6) AS rate FROM (SELECT DISTINCT * FROM i) GROUP BY 1""",
     "agg44_without_category": f"WITH {_EVIDENCE} SELECT record_id, CAST(least(100, greatest(0, sum(CASE WHEN signal = 'bandit' THEN 0 ELSE points END))) AS INT) AS score FROM e GROUP BY 1",
+    "agg42_ablation": f"""WITH {_EVIDENCE}, l AS (SELECT id AS record_id, (status <> 'completed')::INT AS bad FROM {_S}), g AS (SELECT signal FROM e GROUP BY 1 UNION ALL SELECT ''),
+      s AS (SELECT g.signal, l.record_id, bad, least(100, greatest(0, coalesce(sum(CASE WHEN e.signal = g.signal THEN 0 ELSE points END), 0))) AS score FROM l JOIN g ON true LEFT JOIN e ON e.record_id = l.record_id GROUP BY 1, 2, 3),
+      a AS (SELECT x.signal, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS a FROM s x JOIN s y ON x.signal = y.signal AND x.bad = 1 AND y.bad = 0 GROUP BY 1)
+      SELECT a.signal, round(b.a, 6) AS auc, round(a.a, 6) AS auc_without, round(b.a - a.a, 6) AS "drop" FROM a, (SELECT a FROM a WHERE signal = '') b WHERE signal <> ''""",
+    "agg51_citations": f"""SELECT scan_id, count(*) AS cited, round(sum(invalid) / sum(valid + invalid), 4) AS invented, round(avg((reason IS NULL)::INT), 6) AS standing FROM ({modules.ORACLE['jn18_citations']}) GROUP BY 1""",
     "tk13_best_threshold": f"SELECT * FROM ({usage.ORACLE['agg40_confusion']}) ORDER BY f1 DESC, threshold LIMIT 1",
     "jn26_run_changes": f"""WITH a AS (SELECT DISTINCT file_path, rule_id FROM {_F} WHERE deleted_at IS NOT NULL AND file_path IS NOT NULL), b AS (SELECT DISTINCT file_path, rule_id FROM {_F} WHERE deleted_at IS NULL AND file_path IS NOT NULL),
       k AS (SELECT file_path FROM a INTERSECT SELECT file_path FROM b)

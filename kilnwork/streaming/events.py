@@ -14,9 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+def read(spark: SparkSession, folder: str, files: int = 1, pattern: str = "*") -> DataFrame:
     """Events from Parquet files as they arrive in a folder, with `at` as a timestamp."""
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(folder)
     return stream.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -77,3 +77,10 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, mo
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     query.option("checkpointLocation", checkpoint).start().awaitTermination()
     return spark.table(name)
+
+
+def written_out(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what there is, into files that each batch adds to exactly once, and read them."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
