@@ -64,6 +64,11 @@ def recency(commits: DataFrame, now: int) -> DataFrame:
     )
 
 
+def recency_decay(days: Column) -> Column:
+    """1 today, about a third after a year."""
+    return F.exp(-days / 365)
+
+
 def _changes(commits: DataFrame) -> DataFrame:
     each = commits.where("not is_merge").select("repo", "sha", email(F.col("author")).alias("who"), F.explode("files").alias("f"))
     return each.select("repo", "sha", "who", "f.*").where(~is_excluded(F.col("path")))
@@ -144,7 +149,7 @@ def report(commits: DataFrame, heads: DataFrame, present: DataFrame, now: int, l
     parts = {
         "conventional": F.col("conventional_share"),
         "informative": 1 - F.col("low_info_share"),
-        "recency": F.exp(-F.col("days_since") / 365),
+        "recency": recency_decay(F.col("days_since")),
         "activity": F.least(F.lit(1.0), F.col("recent") / ACTIVE),
         "bus_factor": F.least(F.lit(TARGET), F.col("bus_factor")) / TARGET,
         "concentration": 1 - F.col("author_gini"),

@@ -58,3 +58,10 @@ def unfinished(deliveries: DataFrame, state: DataFrame, key: str, ended: tuple[s
     """Deliveries that are still to be worked on: the first of each key whose state hasn't ended."""
     over = state.where(F.col("status").isin(*ended)).select(key)
     return deliveries.dropDuplicates([key]).join(over, key, "left_anti")
+
+
+def exported(df: DataFrame, path: str, kind: str) -> None:
+    """A report as 'csv' with a header, quotes doubled, or as 'json' lines; written as a whole, again the same."""
+    writer = df.write.mode("overwrite")
+    writer = writer.option("header", True).option("escape", '"') if kind == "csv" else writer
+    writer.format(kind).save(path)

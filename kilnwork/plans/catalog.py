@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnwork.plans import control, derived, files, findings, health, modules, texts, training, usage
+from kilnwork.plans import control, derived, files, findings, health, modules, parts, texts, training, usage
 
-_MODULES = (training, findings, usage, derived, modules, health, texts, files, control)
+_MODULES = (training, findings, usage, derived, modules, health, texts, files, control, parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
