@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.runtime import discard, written
+from kilnwork.runtime import discard, small_enough, written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -18,8 +20,28 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.withColumn("instability", F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 4))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node each node is connected with.
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of edges that a task holds, by joining trees at their smaller root."""
+    root: dict = {}
+
+    def top(x: object) -> object:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.src, batch.dst):
+            a, b = top(a), top(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pd.DataFrame({"node": nodes, "component": [top(x) for x in nodes]})
+
+
+def components(edges: DataFrame, most_in_task: int = 500_000) -> DataFrame:
+    """(node, component): the smallest node each node is connected with. Up to most_in_task edges are
+    joined in one task, more by rounds over all executors, with the same result.
 
     Every round a node takes the least of its label's own label and its neighbours' labels' own
     labels, and the node that is its label takes that of its neighbours too (FastSV), so whole
@@ -28,6 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated by the partial minimum."""
     spark = edges.sparkSession
     both = edges.select("src", "dst").where("src is not null and dst is not null")
+    if small_enough(both, most_in_task):
+        kind = dict(both.dtypes)["src"]
+        return both.repartition(1).mapInPandas(_joined, f"node {kind}, component {kind}")
     both, at_edges = written(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels, at = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
     while True:

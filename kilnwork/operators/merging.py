@@ -46,10 +46,11 @@ def anchors(rows: DataFrame) -> DataFrame:
         F.coalesce("end_line", "start_line").alias("end_line"),
         "id",
     ).where("scan_id is not null and path is not null and start_line is not null and id is not null")
-    together = keyed.repartition("scan_id", "path", "kind")
-    return together.sortWithinPartitions("scan_id", "path", "kind", "start_line", "id").mapInPandas(
-        run, "scan_id string, id bigint, anchor_id bigint"
-    )
+    bucket = ["scan_id", "path", "kind"]
+    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*bucket)))
+    alone = counted.where("_n = 1").select("scan_id", "id", F.col("id").alias("anchor_id"))  # most findings
+    together = counted.where("_n > 1").drop("_n").repartition(*bucket).sortWithinPartitions(*bucket, "start_line", "id")
+    return alone.unionByName(together.mapInPandas(run, "scan_id string, id bigint, anchor_id bigint"))
 
 
 def merged(rows: DataFrame) -> DataFrame:

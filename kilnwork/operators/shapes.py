@@ -8,7 +8,9 @@ JVM expressions; JSON text of drifting shape is read by the automaton in Arrow b
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -312,3 +314,94 @@ def variant_tables(items: DataFrame) -> dict[str, DataFrame]:
             *link, "variant", inner.alias("json")
         ),
     }
+
+
+# -- any structure, without rules
+
+
+NODES = "record_id bigint, node string, parent string, at string, field string, item_pos int, state string, variant string, value string"
+PLAIN_NAME = re.compile(r"[A-Za-z_]\w*\Z")
+
+
+def nodes_of(value: object) -> Iterator[tuple[str, str | None, str, str | None, int | None, str, str | None, str | None]]:
+    """(node, parent, at, field, item_pos, state, variant, value) of every value in a JSON value, the root first.
+
+    node is the path from the root, at the same with any position as [*]. The automaton's states here are learned: an
+    object's is its sorted fields with their states, an array's the distinct states of its elements, and `variant`
+    a short name of it, equal wherever the structure is. Leaves have their text. Without recursion."""
+    order: list[tuple[object, str, str | None, str, str | None, int | None]] = []
+    stack: list[tuple[object, str, str | None, str, str | None, int | None]] = [(value, "$", None, "$", None, None)]
+    while stack:
+        entry = stack.pop()
+        order.append(entry)
+        inner, node, _, at, _, _ = entry
+        if isinstance(inner, dict):
+            for name, x in reversed(inner.items()):
+                step = f".{name}" if PLAIN_NAME.match(name) else f'."{name}"'
+                stack.append((x, node + step, node, at + step, name, None))
+        elif isinstance(inner, list):
+            stack.extend((x, f"{node}[{k}]", node, at + "[*]", None, k) for k, x in reversed(list(enumerate(inner))))
+    learned: dict[str, str] = {}
+    below: dict[str, list[tuple[str, str]]] = {}
+    for inner, node, parent, _, field, _ in reversed(order):  # children before parents
+        parts = below.pop(node, [])
+        if isinstance(inner, dict):
+            state = "{" + ",".join(f"{n}:{s}" for n, s in sorted(parts)) + "}"
+        elif isinstance(inner, list):
+            state = "[" + "|".join(sorted({s for _, s in parts})) + "]"
+        else:
+            state = _state(inner, {})
+        learned[node] = hashlib.md5(state.encode("utf-8", "surrogatepass")).hexdigest()[:12] if isinstance(inner, (dict, list)) else state
+        if parent is not None:
+            below.setdefault(parent, []).append((field or "", learned[node]))
+    for inner, node, parent, at, field, pos in order:
+        held = isinstance(inner, (dict, list))
+        state = "object" if isinstance(inner, dict) else "list" if isinstance(inner, list) else _state(inner, {})
+        text = None if held or inner is None else inner if isinstance(inner, str) else json.dumps(inner)
+        yield node, parent, at, field, pos, state, learned[node] if held else None, text
+
+
+def nodes(raw: DataFrame) -> DataFrame:
+    """NODES of the payloads (record_id, payload), each delivery of a key once; text that isn't complete JSON, and
+    null, has none. Every node has its parent's path, so the tables below keep their links at any depth."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in NODES.split(", ")]
+        for batch in batches:
+            rows = []
+            for key, payload in zip(batch.record_id, batch.payload):
+                try:
+                    value = json.loads(payload)
+                except (ValueError, RecursionError):
+                    continue
+                rows += [(key, *n) for n in nodes_of(value)]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    once = raw.select("record_id", "payload").where("payload is not null and record_id is not null")
+    return once.dropDuplicates(["record_id"]).mapInPandas(run, NODES)
+
+
+def variants(of: DataFrame) -> DataFrame:
+    """(at, fields, optional, n, variants): the objects at each place by their fields, how many there are, in how many
+    learned variants, and which of the fields other objects at the place lack."""
+    parts = of.where("field is not null").groupBy("record_id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    objects = of.where("state = 'object'").select("record_id", "node", "at", "variant").join(parts, ["record_id", "node"], "left")
+    none = F.array().cast("array<string>")
+    each = objects.groupBy("at", F.coalesce("fields", none).alias("fields")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("variants"))
+    held = each.select("at", "n", F.explode("fields").alias("f")).groupBy("at", "f").agg(F.sum("n").alias("have"))
+    total = each.groupBy("at").agg(F.sum("n").alias("all"))
+    rare = held.join(total, "at").where("have < all").groupBy("at").agg(F.collect_set("f").alias("rare"))
+    out = each.join(rare, "at", "left")
+    return out.select("at", "fields", F.array_sort(F.array_intersect("fields", F.coalesce("rare", none))).alias("optional"), "n", "variants")
+
+
+def object_table(of: DataFrame, at: str) -> DataFrame:
+    """(record_id, node, parent, item_pos, variant, leaves): the objects at a place as a table of their own, each with
+    its link to the object around it, its variant and its leaf fields as a map."""
+    mine = of.where(F.col("at") == at).where("state = 'object'").select("record_id", "node", "parent", "item_pos", "variant")
+    leaves = of.where("field is not null and state not in ('object', 'list')").select("record_id", F.col("parent").alias("node"), "field", "value")
+    listed = leaves.join(mine.select("record_id", "node"), ["record_id", "node"], "left_semi").groupBy("record_id", "node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("leaves"))
+    return mine.join(listed, ["record_id", "node"], "left")

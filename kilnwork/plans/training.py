@@ -65,6 +65,22 @@ def p3_semgrep_cwe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the payloads, at any depth, with its parent."""
+    return shapes.nodes(table(spark, d, "raw_records")).select("record_id", "node", "parent", "state")
+
+
+def p3_variants(spark: SparkSession, d: str) -> DataFrame:
+    v = shapes.variants(shapes.nodes(table(spark, d, "raw_records")))
+    return v.select("at", F.array_join("fields", ",").alias("fields"), F.array_join("optional", ",").alias("optional"), "n")
+
+
+def p3_metadata_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The objects at one place as their own table."""
+    t = shapes.object_table(shapes.nodes(table(spark, d, "raw_records")), "$.results[*].extra.metadata")
+    return t.select("record_id", "node", "parent", F.map_keys("leaves")[0].alias("first_field"), F.size("leaves").alias("leaves"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +92,9 @@ QUERIES = {
         p3_text_items,
         p3_edit_items,
         p3_semgrep_cwe,
+        p3_nodes,
+        p3_variants,
+        p3_metadata_objects,
     )
 }
 
@@ -115,7 +134,19 @@ a AS (SELECT result_id, 'cwe' AS name, unnest(extra.metadata.cwe) AS v, generate
 b AS (SELECT result_id, unnest(fix.edits) AS v, generate_subscripts(fix.edits, 1) - 1 AS k FROM u)
 """
 
+_TREE = """WITH r AS (SELECT DISTINCT ON (record_id) * FROM raw_records), t AS MATERIALIZED (SELECT record_id, t.fullkey AS node, t.type AS type, regexp_replace(t.fullkey, '\\[\\d+\\]', '[*]', 'g') AS loc, t.value AS value, t.atom AS atom
+  FROM (SELECT record_id, payload FROM r WHERE json_valid(payload)) x, json_tree(x.payload::JSON) t),
+p AS MATERIALIZED (SELECT *, CASE WHEN node <> '$' THEN regexp_replace(node, '(\\[\\d+\\]|\\.[^.\\[\\]]+)$', '') END AS parent FROM t)"""
+
 ORACLE = {
+    "p3_nodes": _TREE + " SELECT record_id, node, parent, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'nothing' WHEN 'BOOLEAN' THEN 'flag' ELSE 'number' END AS state FROM p",
+    "p3_variants": _TREE
+    + """, o AS (SELECT loc, list_sort(json_keys(value)) AS f FROM t WHERE type = 'OBJECT'), g AS (SELECT loc, f, count(*) AS n FROM o GROUP BY 1, 2), s AS (SELECT loc, sum(n) AS a FROM g GROUP BY 1),
+      h AS (SELECT loc, k, sum(n) AS c FROM (SELECT loc, n, unnest(f) AS k FROM g) GROUP BY 1, 2), q AS (SELECT h.loc, list(k) AS rare FROM h JOIN s USING (loc) WHERE c < a GROUP BY 1)
+      SELECT loc AS "at", array_to_string(f, ',') AS fields, array_to_string(list_sort(list_filter(f, lambda x: list_contains(coalesce(rare, []), x))), ',') AS optional, n FROM g LEFT JOIN q USING (loc)""",
+    "p3_metadata_objects": _TREE
+    + """, m AS (SELECT record_id, node, parent FROM p WHERE loc = '$.results[*].extra.metadata' AND type = 'OBJECT'), l AS (SELECT record_id, parent AS node, list_sort(list(substr(node, length(parent) + 2))) AS k FROM p WHERE type NOT IN ('OBJECT', 'ARRAY') AND NOT ends_with(node, ']') GROUP BY 1, 2)
+      SELECT m.record_id, m.node, m.parent, k[1] AS first_field, CAST(len(k) AS INT) AS leaves FROM m LEFT JOIN l USING (record_id, node)""",
     "p3_runs": """SELECT record_id, tool, scan_id, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS received_at, json_valid(payload) AS complete,
       CAST(CASE WHEN NOT json_valid(payload) THEN 0 WHEN tool = 'semgrep' THEN coalesce(json_array_length(json_extract(payload, '$.results')), 0) ELSE coalesce(json_array_length(payload), 0) END AS INT) AS n_results
       FROM (SELECT DISTINCT ON (record_id) * FROM raw_records)""",

@@ -146,7 +146,8 @@ def test_stats(spark):
 
 def test_graph(spark):
     edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 1), ("g", 2, 3), ("g", 9, 8), ("g", 5, 5)], "g string, src bigint, dst bigint")
-    assert {(r.node, r.component) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (5, 5)}
+    for most in (500_000, 0):  # in a task, and over all executors
+        assert {(r.node, r.component) for r in components(edges, most).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (5, 5)}
     assert {r.node: (r.fan_in, r.fan_out) for r in degrees(edges).collect()}[2] == (1, 2)
     strong = {r.node: (r.component, r["size"]) for r in strong_components(edges, "g", "bigint").collect()}
     assert strong[1] == strong[2] == (1, 2) and strong[3] == (3, 1)
@@ -154,12 +155,13 @@ def test_graph(spark):
 
 def test_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "src bigint, dst bigint")
-    assert components(chain).where("component = 0").count() == 201
+    assert components(chain, 0).where("component = 0").count() == 201
 
 
 def test_chains_in_any_order(spark):
     late = [*range(2, 201), 1]  # the least node comes last
     mixed = random.Random(1).sample(range(1000, 2000), 1000)
     edges = spark.createDataFrame([p for c in (late, mixed) for p in zip(c, c[1:])], "src bigint, dst bigint")
-    got = {r.node: r.component for r in components(edges).collect()}
+    got = {r.node: r.component for r in components(edges, 0).collect()}
+    assert got == {r.node: r.component for r in components(edges).collect()}
     assert got == dict.fromkeys(late, 1) | dict.fromkeys(mixed, 1000)

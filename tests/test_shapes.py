@@ -85,3 +85,24 @@ def test_typed_and_text_states_agree(spark):
     typed = df.select(shapes.typed_state(F.col("v"), df.schema["v"].dataType).alias("s")).collect()
     text = df.select(F.to_json("v", {"ignoreNullFields": "false"}).alias("j")).collect()
     assert [r.s for r in typed] == [shapes.state_of(json.loads(r.j) if r.j else None) for r in text]
+
+
+def test_nodes_keep_their_links_at_any_depth(spark):
+    value = {"a": [{"b": 1, "c d": {"e": None}}, {"b": "x"}, [True]], "z": {}}
+    got = {n[0]: n[1:] for n in shapes.nodes_of(value)}
+    assert got["$.a[0].\"c d\".e"][:6] == ("$.a[0].\"c d\"", "$.a[*].\"c d\".e", "e", None, "nothing", None)
+    assert got["$.a[2][0]"] == ("$.a[2]", "$.a[*][*]", None, 0, "flag", None, "true")
+    assert got["$.a[1].b"][6] == "x" and got["$.z"][4] == "object"
+    same = {n[0]: n[6] for n in shapes.nodes_of([{"k": 1, "l": "t"}, {"l": "u", "k": 2}, {"k": "3", "l": "t"}])}
+    assert same["$[0]"] == same["$[1]"] != same["$[2]"]
+    raw = spark.createDataFrame([(1, json.dumps(value)), (1, json.dumps(value)), (2, "{"), (3, None)], "record_id bigint, payload string")
+    n = shapes.nodes(raw)
+    assert n.count() == len(got)
+    v = {(r["at"], tuple(r.fields)): (tuple(r.optional), r.n) for r in shapes.variants(n).collect()}
+    assert v[("$.a[*]", ("b",))] == ((), 1) and v[("$.a[*]", ("b", "c d"))] == (("c d",), 1) and v[("$.z", ())] == ((), 1)
+    t = {r.node: (r.parent, r.item_pos, r.leaves) for r in shapes.object_table(n, "$.a[*]").collect()}
+    assert t == {"$.a[0]": ("$.a", 0, {"b": "1"}), "$.a[1]": ("$.a", 1, {"b": "x"})}
+    deep = []
+    for _ in range(3_000):
+        deep = [deep]
+    assert sum(1 for _ in shapes.nodes_of(deep)) == 3_001
