@@ -45,7 +45,7 @@ class Rules:
     exclusive: float = 20.0  # one partner on either side
     transitive: float = 5.0  # a link implies that the hint means the repository
     rho: float = 8.0
-    settled: float = 0.001  # stop once no value moves, and no copy is off, by more in a step
+    settled: float = 0.00001  # stop once no value moves, and no copy is off, by more in five steps on end
     lines: int = 3
     minutes: int = 25
     accept: float = 0.5
@@ -336,7 +336,8 @@ def solve_spread(state: DataFrame, rules: Rules, most_steps: int = 10_000) -> Da
     x, at_x = written(x)
     means = x.groupBy("hint_a", "repo_b").agg(F.max("s_repo").alias("s_hint"), F.sum("weight").alias("n"))
     means, at_m = written(means.withColumns({"z": F.col("s_hint"), "uf": F.lit(0.0), "off": F.lit(1.0)}))
-    for _ in range(most_steps):
+    quiet = True
+    for step in range(most_steps):
         now = x.join(means.select("hint_a", "repo_b", "z"), ["hint_a", "repo_b"])
         v = [y - F.col(u) for u in duals]
         copies = [
@@ -371,7 +372,8 @@ def solve_spread(state: DataFrame, rules: Rules, most_steps: int = 10_000) -> Da
         now = now.join(means.select("hint_a", "repo_b", "z"), ["hint_a", "repo_b"])
         off_e = now.agg(F.max(F.greatest("off", F.abs(F.col("ce") - z)))).first()[0] or 0.0
         off_z = means.agg(F.max("off")).first()[0] or 0.0
-        if max(off_e, off_z) < rules.settled:
+        quiet = (quiet or step % 20 == 0) and (step % 20 < 15 or max(off_e, off_z) < rules.settled)  # as settle does
+        if quiet and step % 20 == 19:
             return now.select(*keep, F.col("y").alias("confidence"))
         moved = {u: F.col(u) + F.col(f"c{i}") - y for i, u in enumerate(duals)} | {"ue": F.col("ue") + F.col("ce") - z}
         x, at_x = written(now.withColumns(moved).select(*keep, "y", *duals, "ue"))
