@@ -76,8 +76,7 @@ def layer_at(path: Column, language: Column | None = None, frontend: Column | No
     back, front = _words_of("backend"), _words_of("frontend")
     python, stem = language == "python", F.substring_index(fp.name_of(path), ".", 1)
 
-    def layer(segment: Column, k: Column) -> Column:
-        word = F.try_element_at(fp.words_of(segment), F.lit(-1))
+    def layer(word: Column, k: Column) -> Column:
         api = word.isin("api", "apis")
         return (
             F.when(~python & (k == 0) & stem.rlike("^use[A-Z0-9]"), "hooks")
@@ -87,7 +86,9 @@ def layer_at(path: Column, language: Column | None = None, frontend: Column | No
             .otherwise(F.try_element_at(back, word))
         )
 
-    named = F.transform(F.reverse(F.split(path, "/")), lambda s, k: F.struct(layer(s, k).alias("layer"), k.alias("k")))
+    # Words first, so that each segment is read once.
+    words = F.transform(F.reverse(F.split(path, "/")), lambda s: F.try_element_at(fp.words_of(s), F.lit(-1)))
+    named = F.transform(words, lambda w, k: F.struct(layer(w, k).alias("layer"), k.alias("k")))
     return F.when(~fp.is_test(path), F.get(F.filter(named, lambda x: x["layer"].isNotNull()), F.lit(0)))
 
 

@@ -10,6 +10,7 @@ from kilnwork.functions import findings as fn
 from kilnwork.functions import paths as fp
 from kilnwork.operators import architecture, views
 from kilnwork.plans.findings import _F, _PATH, _RANK, findings
+from kilnwork.runtime import written
 
 MOST = 25
 
@@ -25,9 +26,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("definitions"),
         F.bool_or(F.col("code_snippet").isNull()).alias("parse_error"),
     )
-    language, test = fp.language_of(F.col("path")), fp.is_test(F.col("path"))
-    n = n.withColumns({"module_id": F.col("path"), "centrality": F.col("definitions") / 64, "language": language, "is_test": test})
-    return n.withColumns({"layer": architecture.layer_of(F.col("path")), "is_entry": fp.is_entry_point(F.col("path"), language, test)})
+    n = n.withColumns({"module_id": F.col("path"), "centrality": F.col("definitions") / 64})
+    # What a path says is read once for each path, not for each scan that has it.
+    p = n.select("path").distinct().withColumns({"language": fp.language_of(F.col("path")), "is_test": fp.is_test(F.col("path")), "layer": architecture.layer_of(F.col("path"))})
+    p = p.withColumn("is_entry", fp.is_entry_point(F.col("path"), F.col("language"), F.col("is_test")))
+    return n.join(p, "path")
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -42,15 +45,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return architecture.edges_of(references(spark, d))
 
 
-def _cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Cycles of two: modules that import each other."""
-    return _mutual(edges(spark, d))
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, issues), of which the first two are written as they are read several times."""
+    n, e = written(nodes(spark, d))[0], written(edges(spark, d))[0]
+    return n, e, _issues(n, e)
 
 
-def _issues(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    cycles = views.cycle_issues(_cycles(spark, d), e)
-    layers = architecture.layer_issues(nodes(spark, d), e)
+def _issues(n: DataFrame, e: DataFrame) -> DataFrame:
+    cycles = views.cycle_issues(_mutual(e), e)
+    layers = architecture.layer_issues(n, e)
     one = F.array(F.struct("src", "dst"))
     severity = F.when(F.col("kind") == "inversion", "error").otherwise("warning")
     layers = layers.select("scan_id", views.issue_key(F.lit("layer"), F.array("src", "dst"), one).alias("issue_id"), F.lit("layer").alias("kind"), severity.alias("severity"), F.array("src", "dst").alias("modules"), one.alias("edges"))
@@ -108,24 +111,24 @@ def gr07_cycle_issues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prj13_issues(spark: SparkSession, d: str) -> DataFrame:
-    i = views.issues_of(_issues(spark, d), ("cycle", "layer"), ("error",))
+    i = views.issues_of(_graph(spark, d)[2], ("cycle", "layer"), ("error",))
     return i.groupBy("scan_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def arr04_issues_of_module(spark: SparkSession, d: str) -> DataFrame:
-    i = views.issues_of(_issues(spark, d).where("array_contains(modules, modules[0])"), ("layer",))
+    i = views.issues_of(_graph(spark, d)[2].where("array_contains(modules, modules[0])"), ("layer",))
     return i.select("scan_id", "issue_id", F.explode("modules").alias("module")).where("module rlike '^(models|handlers)/'")
 
 
 def agg16_view_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n, e = nodes(spark, d), edges(spark, d)
-    keys = views.view_keys(n, MOST, greedy=False)
-    return views.view_nodes(keys, n, views.view_edges(keys, e, _issues(spark, d)))
+    n, e, issues = _graph(spark, d)
+    keys = written(views.view_keys(n, MOST, greedy=False))[0]
+    return views.view_nodes(keys, n, views.view_edges(keys, e, issues))
 
 
 def jn25_view_edges(spark: SparkSession, d: str) -> DataFrame:
-    keys = views.view_keys(nodes(spark, d), MOST, greedy=False)
-    return views.view_edges(keys, edges(spark, d), _issues(spark, d))
+    n, e, issues = _graph(spark, d)
+    return views.view_edges(written(views.view_keys(n, MOST, greedy=False))[0], e, issues)
 
 
 def str19_view_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +142,9 @@ def gr17_opened_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set05_issue_nodes(spark: SparkSession, d: str) -> DataFrame:
-    keys = views.view_keys(nodes(spark, d), MOST, greedy=False)
-    return views.issue_nodes(keys, _issues(spark, d)).withColumn("nodes", F.array_join("nodes", ">"))
+    n, _, issues = _graph(spark, d)
+    keys = views.view_keys(n, MOST, greedy=False)
+    return views.issue_nodes(keys, issues).withColumn("nodes", F.array_join("nodes", ">"))
 
 
 def _external(spark: SparkSession, d: str) -> DataFrame:
