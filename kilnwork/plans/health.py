@@ -285,7 +285,7 @@ ORACLE = {
       SELECT scan_id, round(a, 6) AS swallow_rate, round(b, 6) AS io_wrapped_ratio, NULL::DOUBLE AS promise_handling, {_MEAN.format('a, b')} FROM x""",
     "prj18_test_kinds": f"{modules._WITH} SELECT DISTINCT path, {_KIND} AS kind FROM q",
     "agg28_test_quality": f"""{modules._WITH}, x AS (SELECT scan_id, sum(loc) FILTER (is_test) AS tl, coalesce(sum(loc) FILTER (NOT is_test), 0) AS sl, coalesce(sum(definitions) FILTER (is_test), 0) AS n, sum(loc % 5) FILTER (is_test) AS a, sum(parse_error::INT) FILTER (is_test) AS z, count(DISTINCT {_KIND}) FILTER (is_test) AS k FROM n GROUP BY 1),
-      y AS (SELECT scan_id, CASE WHEN n = 0 THEN 0.0 WHEN sl > 0 THEN least(1, tl / (0.3 * sl)) ELSE 1 END AS a1, CASE WHEN n > 0 THEN least(1, a / n / 2) END AS a2, CASE WHEN n > 0 THEN 1 - z / n END AS a3, CASE WHEN n > 0 THEN CASE WHEN k >= 2 THEN 1 ELSE 0.5 END END AS a4 FROM x)
+      y AS (SELECT scan_id, CASE WHEN n = 0 THEN 0.0 WHEN sl > 0 THEN least(1, tl / (0.3 * sl)) ELSE 1 END AS a1, CASE WHEN n > 0 THEN least(1, a / n / 2) END AS a2, CASE WHEN n > 0 THEN 1 - z / n END AS a3, CASE WHEN n > 0 THEN CASE WHEN k >= 2 THEN 1 ELSE 0.5 END END::DOUBLE AS a4 FROM x)
       SELECT scan_id, round(a1, 6) AS test_presence, round(a2, 6) AS assertion_density, round(a3, 6) AS assertion_free, round(a4, 6) AS type_mix, {_MEAN.format('a1, a2, a3, a4')} FROM y""",
     "agg29_ci_quality": f"""WITH x AS (SELECT scan_id, max((analyzer = 'bandit')::INT)::DOUBLE AS tests, max((analyzer = 'ruff')::INT)::DOUBLE AS lint, max((analyzer = 'dependency')::INT)::DOUBLE AS build, max((analyzer = 'semgrep')::INT)::DOUBLE AS security, coalesce(max((len(cwe_ids) > 1)::INT), 0)::DOUBLE AS pr_trigger, max(({_RANK.format('severity')} = 4)::INT)::DOUBLE AS g
       FROM {_F} WHERE scan_id IS NOT NULL GROUP BY 1) SELECT scan_id, tests, lint, build, security, pr_trigger, CASE WHEN build = 1 THEN g END AS gating, {_MEAN.format('tests, lint, build, security, pr_trigger, CASE WHEN build = 1 THEN g END')} FROM x""",

@@ -311,7 +311,7 @@ ORACLE = {
     "src27_dialects": f"""SELECT repo, path, job, stage, needs, replace(items, '$', n) AS items FROM {_REPO.format(_S)}, (VALUES ('.gitlab-ci.yml', 't', 0, '', 'pytest $'), ('.gitlab-ci.yml', 'b', 1, 't', 'make build'), ('.circleci/config.yml', 't', NULL, '', 'pytest $'),
       ('.circleci/config.yml', 'b', NULL, 't', 'make build'), ('Jenkinsfile', 'Jenkinsfile', NULL, '', 'pytest $;make build'), ('azure-pipelines.yml', 'azure', NULL, '', 'pytest $')) v(path, job, stage, needs, items)""",
     "src29_reports": f"""SELECT id AS repo, f AS folder, CAST(CASE f WHEN 'a' THEN n ELSE 1 END AS BIGINT) AS covered, CAST(CASE f WHEN 'a' THEN 2 * n WHEN 'b' THEN n ELSE n + 1 END AS BIGINT) AS total FROM (SELECT id, coalesce(source_loc, 7) AS n FROM {_S}), (VALUES ('a'), ('b'), ('')) v(f) WHERE n > 0""",
-    "snk03_scores": f"SELECT status, id AS scan_id, CASE status WHEN 'completed' THEN 2.0 ELSE 1.0 END AS score FROM {_S}",
+    "snk03_scores": f"SELECT status, id AS scan_id, CASE status WHEN 'completed' THEN 2 ELSE 1 END::DOUBLE AS score FROM {_S}",
     "snk06_exported": f"SELECT kind, analyzer, n, note FROM (SELECT analyzer, count(*) AS n, max(message) AS note FROM {_F} GROUP BY 1), (VALUES ('csv'), ('json')) v(kind)",
     "set03_gained_and_lost": f"SELECT id, array_to_string(list_sort(list_transform(list_distinct(list_filter(cwe_ids, lambda x: x NOT IN (79, 22, 89))), lambda x: x::VARCHAR)), ',') AS gained, array_to_string(list_sort(list_transform(list_filter([79, 22, 89], lambda x: NOT list_contains(cwe_ids, x)), lambda x: x::VARCHAR)), ',') AS lost FROM {_F} WHERE cwe_ids IS NOT NULL",
     "gr11_depths": f"{modules._WITH} SELECT scan_id, CAST(count(DISTINCT string_split(path, '/')[1]) AS INT) AS nodes, CAST(count(DISTINCT string_split(path, '/')[1]) - 2 AS INT) AS depth FROM n GROUP BY 1 HAVING count(DISTINCT string_split(path, '/')[1]) > 1",

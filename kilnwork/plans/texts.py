@@ -349,7 +349,7 @@ ORACLE = {
     "ver06_major_bumps": f"WITH {_V} SELECT a.name, a.version, b.version AS other, a.k[1] <> b.k[1] OR a.k[1] = 0 AND a.k[2] <> b.k[2] AS major FROM v a JOIN v b USING (name)",
     "dt04_times": f"SELECT id, CAST(floor(epoch(created_at)) AS BIGINT) AS at FROM {_S}",
     "mth04_colors": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (h // 65536)::DOUBLE WHEN 1 THEN (p_partkey % 256)::DOUBLE END AS r, CASE p_partkey % 3 WHEN 0 THEN (h // 256 % 256)::DOUBLE WHEN 1 THEN p_size::DOUBLE END AS g,
-      CASE p_partkey % 3 WHEN 0 THEN (h % 256)::DOUBLE WHEN 1 THEN (p_partkey % 7)::DOUBLE END AS b, CASE WHEN p_partkey % 3 < 2 THEN 1.0 END AS a FROM (SELECT *, (p_partkey * 7919) % 16777216 AS h FROM part)""",
+      CASE p_partkey % 3 WHEN 0 THEN (h % 256)::DOUBLE WHEN 1 THEN (p_partkey % 7)::DOUBLE END AS b, CASE WHEN p_partkey % 3 < 2 THEN 1::DOUBLE END AS a FROM (SELECT *, (p_partkey * 7919) % 16777216 AS h FROM part)""",
     "mth05_round_trip": "SELECT p_partkey, CAST((p_partkey * 7) % 256 AS INT) AS r, CAST((p_partkey * 31) % 256 AS INT) AS g, CAST((p_partkey * 101) % 256 AS INT) AS b FROM part",
     "mth07_screenshots": f"SELECT id, (1 - ({_BITS.format('substr(fingerprint, 1, 16)', 'substr(fingerprint, 17, 16)')}) / 64 + 1 - ({_BITS.format('substr(fingerprint, 33, 16)', 'substr(fingerprint, 49, 16)')}) / 64) / 2 AS similarity FROM {_F}",
     "jn12_nearest": f"""WITH p AS (SELECT id AS page, substr(fingerprint, 1, 16) AS h FROM {_F}), r AS (SELECT rule_id AS reference, length(rule_id) AS place, substr(min(fingerprint), 17, 16) AS g FROM {_F} WHERE analyzer = 'architecture' GROUP BY 1),
