@@ -107,13 +107,13 @@ def agg42_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def agg34_line_shares(spark: SparkSession, d: str) -> DataFrame:
     f = findings(spark, d)
-    s = sites.usage_shares(f, ["scan_id"], "category", F.col("end_line") - F.col("start_line") + 1, 0.05)
+    s = sites.usage_shares(f, ["scan_id"], "category", F.col("end_line") - F.col("start_line") + 1)
     return s.withColumn("share", F.round("share", 6))
 
 
 def agg35_column_base(spark: SparkSession, d: str) -> DataFrame:
     b = one_per_key(table(spark, d, "bandit_output"), "result_id")
-    return sites.spacing_base(b, ["test_id"], "col_offset", 0.3)
+    return sites.spacing_base(b, ["test_id"], "col_offset")
 
 
 def dt02_ages(spark: SparkSession, d: str) -> DataFrame:
@@ -218,9 +218,9 @@ ORACLE = {
       SELECT signal, count(*) AS fired, count(*) FILTER (bad) AS fired_bad, round(count(*) FILTER (bad) / count(*), 6) AS "precision",
       round(count(*) FILTER (bad) / (SELECT count(*) FROM l WHERE bad), 6) AS share_bad, round(count(*) FILTER (NOT bad) / (SELECT count(*) FROM l WHERE NOT bad), 6) AS share_good FROM f GROUP BY 1""",
     "agg34_line_shares": f"""SELECT scan_id, category, weight, round(share, 6) AS share FROM (SELECT *, weight / sum(weight) OVER (PARTITION BY scan_id) AS share
-      FROM (SELECT scan_id, category, CAST(sum(end_line - start_line + 1) AS BIGINT) AS weight FROM {_F} WHERE category IS NOT NULL GROUP BY 1, 2)) WHERE share >= 0.05""",
+      FROM (SELECT scan_id, category, CAST(sum(end_line - start_line + 1) AS BIGINT) AS weight FROM {_F} WHERE category IS NOT NULL GROUP BY 1, 2)) WHERE share >= 0.005""",
     "agg35_column_base": "SELECT test_id, CASE "
-    + " ".join(f"WHEN count(*) FILTER (col_offset % {b} = 0) >= 0.3 * count(*) THEN {b}" for b in sites.BASES)
+    + " ".join(f"WHEN count(*) FILTER (col_offset % {b} = 0) >= 0.8 * count(*) THEN {b}" for b in sites.BASES)
     + " END AS base FROM (SELECT DISTINCT ON (result_id) * FROM bandit_output) WHERE col_offset > 0 GROUP BY 1",
     "dt02_ages": f"""SELECT CASE WHEN a < 7 THEN 'under a week' WHEN a < 30 THEN 'under a month' WHEN a < 90 THEN 'under three months' WHEN a < 365 THEN 'under a year'
       WHEN a >= 1095 THEN 'over three years' ELSE 'neutral' END AS age, count(*) AS n FROM (SELECT DATE '2026-07-01' - CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS a FROM {_S}) GROUP BY 1""",
@@ -228,4 +228,7 @@ ORACLE = {
       SELECT a.rule_id AS better, b.rule_id AS worse FROM r a JOIN r b ON a.label >= b.label + 2 AND a.score < b.score""",
     "arr05_rotated": f"""SELECT id, array_to_string(list_concat(list_slice(cwe_ids, p, len(cwe_ids)), list_slice(cwe_ids, 1, p - 1)), ',') AS cycle
       FROM (SELECT *, list_position(cwe_ids, list_min(cwe_ids)) AS p FROM {_F} WHERE len(cwe_ids) > 0)""",
+    "jn11_loose_names": f"""WITH h AS (SELECT DISTINCT repo_hint AS l FROM bandit_output WHERE regexp_matches(repo_hint, '^[a-z]+$')), b AS (SELECT DISTINCT regexp_replace(repo_name, '[^a-z]', '', 'g') AS k FROM {_S} WHERE repo_name IS NOT NULL),
+      x AS (SELECT l, k, CASE WHEN l = k THEN 'exact' WHEN replace(replace(replace(l, 'rn', 'm'), 'vv', 'w'), 'cl', 'd') = k THEN 'plain letters' WHEN length(k) >= 5 AND levenshtein(l, k) <= CASE WHEN length(k) >= 8 THEN 2 ELSE 1 END THEN 'near' END AS r FROM h, b)
+      SELECT l || '.com' AS host, k AS brand, r AS rule FROM x WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY l ORDER BY k) = 1""",
 }
