@@ -93,14 +93,16 @@ def color_weights(styles: DataFrame) -> DataFrame:
 
 def nearest_color(asked: DataFrame, seen: DataFrame, most: float = 0.04, cell: float = 0.04) -> DataFrame:
     """(page, color, match, distance): the nearest seen colour within `most`, the first of equals. asked and
-    seen: page, color, l, a, b of OKLab. Colours meet on cells of a grid as wide as the reach and its neighbours."""
+    seen: page, color, l, a, b of OKLab. Colours meet on cells of a grid as wide as the reach and its neighbours,
+    which the seen ones are repeated for. The planner doesn't count repeats, so neither side may be broadcast."""
     width = max(most, cell)
     at = [F.floor(F.col(c) / width).cast("int") for c in "lab"]
     near = lambda x: F.explode(F.array(x - 1, x, x + 1))
-    cells = asked.select("page", "color", "l", "a", "b", near(at[0]).alias("g0")).withColumn("g1", near(at[1])).withColumn("g2", near(at[2]))
-    there = seen.select("page", F.col("color").alias("match"), *[F.col(c).alias(f"s{c}") for c in "lab"], *[F.floor(F.col(c) / width).cast("int").alias(f"g{i}") for i, c in enumerate("lab")])
+    cells = asked.select("page", "color", "l", "a", "b", *[x.alias(f"g{i}") for i, x in enumerate(at)])
+    there = seen.select("page", F.col("color").alias("match"), "l", "a", "b", near(at[0]).alias("g0")).withColumn("g1", near(at[1])).withColumn("g2", near(at[2]))
+    there = there.withColumnsRenamed({c: f"s{c}" for c in "lab"})
     apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"s{c}"), F.lit(2)) for c in "ab"), F.pow(F.col("l") - F.col("sl"), F.lit(2))))
-    met = cells.join(there, ["page", "g0", "g1", "g2"]).withColumn("distance", apart).where(F.col("distance") <= most)
+    met = cells.join(there.hint("merge"), ["page", "g0", "g1", "g2"]).withColumn("distance", apart).where(F.col("distance") <= most)
     best = met.groupBy("page", "color").agg(F.min(F.struct("distance", "match")).alias("m"))
     return best.select("page", "color", "m.match", "m.distance")
 

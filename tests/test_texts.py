@@ -1,3 +1,7 @@
+from itertools import product
+from math import dist
+from random import Random
+
 from pyspark.sql import functions as F
 
 from kilnwork.functions import colors
@@ -11,6 +15,21 @@ def test_nearest_color_meets_neighbouring_cells(spark):
     assert [(r.page, r.color, r.match) for r in sites.nearest_color(asked, seen).collect()] == [("p", "x", "s2")]
 
 
+def test_nearest_color_broadcasts_no_repeated_side(spark, tmp_path):
+    lab = "page string, color int, l double, a double, b double"
+    side = lambda r, n: [("pq"[k % 2], k % 40, *(r.uniform(-0.1, 0.1) for _ in "lab")) for k in range(n)]
+    asked, seen = side(Random(1), 50), side(Random(2), 40)
+    for name, rows in (("asked", asked), ("seen", seen)):  # files, as the planner knows their sizes
+        spark.createDataFrame(rows, lab).write.parquet(f"{tmp_path}/{name}")
+    out = sites.nearest_color(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("asked", "seen")])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want: dict[tuple[str, int], tuple[float, int]] = {}
+    for (p, c, *x), (q, m, *y) in product(asked, seen):
+        if p == q and (d := dist(x, y)) <= 0.04:
+            want[p, c] = min(want.get((p, c), (d, m)), (d, m))
+    assert len(want) > 5 and {(r.page, r.color): r.match for r in out.collect()} == {k: m for k, (_, m) in want.items()}
+
+
 def test_few_links_say_nothing(spark):
     links = spark.createDataFrame([("p", "b")] * 3 + [("p", None)] * 3 + [("q", "b")] * 4, "page string, brand string")
     assert [tuple(r) for r in sites.link_brands(links).collect()] == [("p", "b", 0.5)]
