@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kilnwork.operators import dependencies as deps
-from kilnwork.operators import evaluation, signals
+from kilnwork.operators import evaluation, signals, stats
 
 
 def test_unused_dependencies(spark):
@@ -59,6 +59,21 @@ def test_paired_differences(spark):
     assert evaluation.paired_differences(spark.createDataFrame(rows[:2], "a double, b double, l double"), "a", "b", "l").first().point is None
 
 
+def test_paired_draws_are_neither_joined_nor_shuffled(spark):
+    rows = spark.createDataFrame([(float(k * 7 % 5), float(k % 4), float(k // 3)) for k in range(40)], "a double, b double, l double")
+    out = evaluation.paired_differences(rows, "a", "b", "l", 60)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the differences to their percentiles
+    numbered = evaluation._numbered(rows, "a", "b", "l")
+    drawn = spark.range(60).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"))
+    picks = drawn.select("replicate", F.pmod(F.xxhash64("replicate", "k", F.lit(7)), F.lit(40)).alias("i")).join(F.broadcast(numbered), "i")
+    rho = [{r.replicate: r.rho for r in evaluation.replicate_correlations(None, c, "l", picks).collect()} for c in "ab"]
+    d = [rho[0][k] - rho[1][k] for k in rho[0]]
+    r = out.first()
+    assert np.allclose([r.low, r.high, r.improves], [*np.percentile(d, [2.5, 97.5]), np.mean(np.array(d) > 0)])
+    assert np.isclose(r.point, stats.spearman(rows, "a", "l").first().rho - stats.spearman(rows, "b", "l").first().rho)
+
+
 def test_collinear_series_with_ties(spark):
     rows = [(k, n, v) for k in range(20) for n, v in (("a", float(k // 3)), ("b", float(-(k // 3))), ("c", None if k % 2 else float(k)))]
     got = {(r.a, r.b): (r.n, round(r.rho, 6)) for r in evaluation.collinearity(spark.createDataFrame(rows, "r int, n string, v double"), "r", "n", "v").collect()}
